@@ -43,7 +43,8 @@ class SecretConfig:
     sample: int = 1500  # labelled values of each kind that are learned from; documented bound
     others: int = 1500  # other tokens
     alpha: float = 0.01  # of Hoeffding's bound
-    margin: float = 0.25  # bits per character above the best other token
+    margin: float = 0.25  # bits per character above the other tokens
+    unlabelled: float = 0.02  # share of other tokens that may be credentials without a label
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -232,8 +233,8 @@ def fit(spark: SparkSession, docs: DataFrame, text: str = "text", cfg: SecretCon
     for k in range(len(KINDS)):
         if kinds[k] is not None:
             good = sorted(model.score(w)[k] for w in words[k][1::2])
-            worst = max((model.score(w)[k] for w in other[1::2]), default=0.0)
-            limits.append(max(good[len(good) // 20], worst + cfg.margin, 0.0))
+            plain = sorted(model.score(w)[k] for w in other[1::2]) or [0.0]
+            limits.append(max(good[len(good) // 20], plain[math.ceil(len(plain) * (1 - cfg.unlabelled)) - 1] + cfg.margin, 0.0))
         else:
             limits.append(math.inf)
     return SecretModel(kinds, ground, limits)
