@@ -15,7 +15,8 @@ from .windows import assign_windows, window_ends
 def pelt(values: np.ndarray, penalty: float, min_size: int = 7, jump: int = 5) -> list[int]:
     """Positions at which a segmentation of least squared error, plus `penalty` for each change, begins a new segment.
 
-    Candidates are multiples of `jump`; those that can't become best again are pruned.
+    Candidates are multiples of `jump`. One that is worse at t than a start at t
+    is pruned, but not before a segment from t may end: at t + min_size.
     """
     n = len(values)
     s1, s2 = np.r_[0.0, np.cumsum(values)], np.r_[0.0, np.cumsum(values * values)]
@@ -25,8 +26,9 @@ def pelt(values: np.ndarray, penalty: float, min_size: int = 7, jump: int = 5) -
 
     ends = [t for t in range(jump * math.ceil(min_size / jump), n, jump) if t >= min_size] + [n]
     best, back = {0: 0.0}, {}
-    alive = [0]
+    alive, doomed = [0], {}
     for t in ends:
+        alive = [a for a in alive if t - doomed.get(a, t) < min_size]
         some = np.array([a for a in alive if t - a >= min_size], int)
         if not len(some):
             best[t], back[t] = math.inf, 0
@@ -35,8 +37,9 @@ def pelt(values: np.ndarray, penalty: float, min_size: int = 7, jump: int = 5) -
         total = np.array([best[a] for a in some]) + cost(some, t) + penalty
         k = int(total.argmin())
         best[t], back[t] = float(total[k]), int(some[k])
-        dead = set(some[total > best[t] + penalty].tolist())
-        alive = [a for a in alive if a not in dead] + [t]
+        for a in some[total > best[t] + penalty].tolist():
+            doomed.setdefault(a, t)
+        alive.append(t)
     out, t = [], n
     while t > 0:
         t = back[t]

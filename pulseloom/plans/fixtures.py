@@ -205,7 +205,7 @@ def day(expr: str, name: str) -> str:
 
 
 def num(expr: str, name: str) -> str:
-    return f"round(cast({expr} as double), 6) + 0e0 as {name}"
+    return f"round(cast({expr} as double) + 1e-10, 6) + 0e0 as {name}"
 
 
 def whole(expr: str, name: str) -> str:
@@ -213,7 +213,7 @@ def whole(expr: str, name: str) -> str:
 
 
 def shown(df: DataFrame) -> DataFrame:
-    """Days as text, whole numbers as long, doubles rounded to six places without a negative zero."""
+    """Days as text, whole numbers as long, doubles rounded to six places without a negative zero (a little above, so that engines agree on halves)."""
     cells = []
     for f in df.schema.fields:
         c = F.col(f.name)
@@ -222,6 +222,6 @@ def shown(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.IntegerType | T.ShortType | T.ByteType):
             c = c.cast("long")
         elif isinstance(f.dataType, T.DoubleType | T.FloatType):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(1e-10), 6) + F.lit(0.0)
         cells.append(c.alias(f.name))
     return df.select(*cells)

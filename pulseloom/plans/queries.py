@@ -485,7 +485,9 @@ def label_summary(v):
 
 @query()
 def pelt_changepoints(v):
-    return labels.change_points(v.daily, "mentions")
+    """The daily series with a level that shifts every 200 days."""
+    shifted = v.daily.withColumn("level", F.col("mentions") + F.when(F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / 200) % 2 == 0, 6).otherwise(0))
+    return labels.change_points(shifted, "level")
 
 
 @query(f"""with nx as (select f.hashtag, f.e, f.ts_a, f.ts_b, f.net_c, (select min(l.e) from pred l where l.hashtag = f.hashtag and l.e > f.e and l.score % 5 <> 0) as ne from samples f)

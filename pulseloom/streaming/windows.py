@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def daily_counts(events: DataFrame, key: str, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """(key, date, n) of a stream of events; a day closes once the watermark passes it."""
-    days = F.window(F.col(ts).cast("timestamp"), "1 day")
+    days = F.window(F.col(ts), "1 day")
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(key, days.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").cast("date").alias("date"), "n")
 
 
