@@ -38,7 +38,7 @@ def check(docs, cfg, out):
     return len(seqs), sum(len(i) for x in want.values() for i in x)
 
 
-@pytest.mark.parametrize("cfg", [packing.PackConfig(), packing.PackConfig(window=64, shard_docs=50, memo=100)])
+@pytest.mark.parametrize("cfg", [packing.PackConfig(), packing.PackConfig(window=64, shard_docs=50)])
 def test_sf(spark, cfg):
     docs = edge.sf_docs(spark)
     n, total = check(docs, cfg, packing.pack(docs, cfg=cfg))
@@ -75,3 +75,12 @@ def test_bm25_scores_and_order():
     s = np.round(index.scores(3))  # many ties
     assert list(packing.ranked(s, unused, 10)) == sorted((d for d in range(60) if unused[d] and s[d] > 0), key=lambda d: (-s[d], d))
     assert sorted(packing.retrieval_order(docs, cfg)) == list(range(60))
+
+
+def test_ranks_give_the_librarys_ids():
+    enc = packing.encoder(packing.PackConfig())
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (i < 0x3000 or i % 61 == 0)]
+    texts = [f"a{chr(i)}b {chr(i)}{chr(i)} 1{chr(i)} {chr(i)}\n {chr(i)}'s" for i in points]
+    texts += ["x" * 20_000, " " * 20_000, "\n " * 9000, "1" * 9000, "a<|endoftext|> b", *(t or "" for _, t, _ in edge.TEXTS)]
+    for text, want in zip(texts, enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert enc.encode(text).tolist() == want.ids, ascii(text[:40])
