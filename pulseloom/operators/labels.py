@@ -75,7 +75,7 @@ def window_means(series: DataFrame, value: str, width: int = 30, step: int = 30,
 
 def burst_labels(means: DataFrame, points: DataFrame, metric: str, abs_jump: float = 10.0, rel_jump: float = 1.0) -> DataFrame:
     """A window bursts if a change point lies inside (start, end], the mean rises by abs_jump and to at least 1 + rel_jump of the previous one; from 0, the ratio is infinite."""
-    # Change points join their windows by ordinal, as events do.
+    # A tag has few windows and change points, so this stays far smaller than its series.
     found = means.join(points, "hashtag").where((F.col("cp_date") > F.col("window_start")) & (F.col("cp_date") <= F.col("window_end"))).groupBy("hashtag", "window_end").agg(F.count(F.lit(1)).alias("n_cp"))
     both = means.join(found, ["hashtag", "window_end"], "left")
     jump = F.col("mean_now") - F.col("mean_before")
@@ -88,3 +88,10 @@ def burst_labels(means: DataFrame, points: DataFrame, metric: str, abs_jump: flo
 def label_summary(labels: DataFrame, columns: list[str]) -> DataFrame:
     """Windows of each tag and the percentage of bursts."""
     return labels.groupBy("hashtag").agg(F.count(F.lit(1)).alias("n_windows"), *(F.round(F.avg(F.col(c).cast("double")) * 100, 6).alias(f"pct_{c}") for c in columns))
+
+
+def near_boundary(windows: DataFrame, points: DataFrame, guard_days: int = 7) -> DataFrame:
+    """The older rule: whether a change point lies within guard_days of the window's start."""
+    close = F.abs(F.datediff("cp_date", "window_start")) <= guard_days
+    found = windows.select("hashtag", "window_end", "window_start").join(points, "hashtag").where(close).groupBy("hashtag", "window_end").agg(F.count(F.lit(1)).alias("n"))
+    return windows.select("hashtag", "window_end").join(found, ["hashtag", "window_end"], "left").select("hashtag", "window_end", F.col("n").isNotNull().alias("has_cp_near_boundary"))

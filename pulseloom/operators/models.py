@@ -42,6 +42,18 @@ def estimator(name: str, seed: int = 42):
 MODELS = ("majority", "random", "logistic_regression", "decision_tree", "random_forest", "gradient_boosting")
 
 
+def fit(train: DataFrame, columns: list[str], name: str, seed: int = 42):
+    """A fitted pipeline over balanced weights; logistic regression on standardised columns."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    scaled = name == "logistic_regression"
+    stages = [VectorAssembler(inputCols=columns, outputCol="raw" if scaled else "features")]
+    if scaled:
+        stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True))
+    return Pipeline(stages=[*stages, estimator(name, seed)]).fit(prepared(train, columns))
+
+
 def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], name: str, seed: int = 42) -> DataFrame:
     """test's hashtag, window_end, label with y_pred_proba and y_pred."""
     keys = [c for c in ("hashtag", "window_end", "label") if c in test.columns]
@@ -51,15 +63,9 @@ def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], name: str
         out = test.select(*keys, proba.alias("y_pred_proba"))
         limit = 0.5 if name == "majority" else 1.0 - base
         return out.withColumn("y_pred", (F.col("y_pred_proba") >= limit).cast("int"))
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    scaled = name == "logistic_regression"
-    stages = [VectorAssembler(inputCols=columns, outputCol="raw" if scaled else "features")]
-    if scaled:
-        stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True))
-    model = Pipeline(stages=[*stages, estimator(name, seed)]).fit(prepared(train, columns))
+    model = fit(train, columns, name, seed)
     clean = test.withColumns({c: finite(F.col(c).cast("double")) for c in columns})
     out = model.transform(clean).withColumn("y_pred_proba", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)))  # one class in training: never a burst
     return out.select(*keys, "y_pred_proba", (F.col("y_pred_proba") >= 0.5).cast("int").alias("y_pred"))
@@ -90,3 +96,28 @@ def nested_cv(samples: DataFrame, folds: DataFrame, columns: list[str], name: st
 def fold_summary(folds: DataFrame) -> DataFrame:
     metrics = ("roc_auc", "average_precision", "precision", "recall", "f1")
     return folds.groupBy("model").agg(*(x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"))))
+
+
+def normalised_predictions(pred: DataFrame) -> DataFrame:
+    """Predictions under the engine's names: label (or y_true), y_pred derived from the prediction type where it is missing."""
+    out = pred.withColumnRenamed("y_true", "label") if "label" not in pred.columns else pred
+    if "y_pred" not in out.columns:
+        out = out.withColumn("y_pred", F.col("prediction_type").isin("TP", "FP").cast("int"))
+    return out
+
+
+def save(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def importances(spark, model, columns: list[str]) -> DataFrame:
+    """(feature, importance) of a fitted pipeline: impurity of trees, or the absolute coefficients."""
+    last = model.stages[-1]
+    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
+    return spark.createDataFrame([(c, float(x)) for c, x in zip(columns, values, strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")

@@ -462,6 +462,31 @@ def emb_spectrum(v):
     return embeddings.spectrum(v.table("embeddings"), ["label"])
 
 
+@query()
+def spearman_pc_degree(v):
+    """Rank correlation of principal components with the vector's norm rank, by label."""
+    scored = embeddings.principal_scores(v.table("embeddings").select("vec_id", "label", "embedding"))
+    return evaluate.spearman(scored.withColumn("key", F.col("vec_id") % 97), "pc1", "key", ["label"])
+
+
+@query(f"""with a as (select label, vec_id, list_transform(embedding, lambda x: cast(x as double)) as a from embeddings), j as (select x.label, x.vec_id, x.a, y.a as b from a x join a y on x.label = y.label and y.vec_id = x.vec_id + 1),
+p as (select s.label, 1 - list_cosine_similarity(s.a, t.a) as x, 1 - list_cosine_similarity(s.b, t.b) as y from j s join j t on s.label = t.label and s.vec_id < t.vec_id)
+select cast(label as bigint) as label, count(*) as n_pairs, {num("covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)", "agreement")} from p group by label""")
+def emb_distance_agreement(v):
+    e = v.table("embeddings")
+    return embeddings.distance_agreement(e, e.withColumn("vec_id", F.col("vec_id") - 1), "vec_id", ["label"])
+
+
+@query()
+def gae_role_features(v):
+    return embeddings.role_features(kernels.gae_embeddings(v.bipartite), v.nodes, v.bipartite)
+
+
+@query()
+def spectral_features(v):
+    return kernels.spectral_features({"bip": v.bipartite, "proj_a": v.projection})
+
+
 # Labels, samples, splits
 
 
@@ -478,6 +503,18 @@ def burst_rule(v):
     return out.select("hashtag", "window_end", "label_mentions", "has_cp_inside_boundary_mentions", "jump_absolute_mentions")
 
 
+@query(f"""with c as (select m.hashtag, m.e, count(*) as k from means m join cps on cps.hashtag = m.hashtag and cp > m.s and cp <= m.e group by all)
+select m.hashtag, {day("m.e", "window_end")}, cast(c.k is not null as bigint) as ts_mentions_recent_cp_flag, {num("now - bef", "ts_mentions_last_cp_jump")} from means m left join c on c.hashtag = m.hashtag and c.e = m.e""")
+def ts_changepoint(v):
+    return tsfeatures.changepoint_features(v.means, labels.burst_labels(v.means, v.cps, "mentions"), "mentions")
+
+
+@query(f"""with c as (select distinct m.hashtag, m.e from means m join cps on cps.hashtag = m.hashtag and abs(cp - m.s) <= 7)
+select m.hashtag, {day("m.e", "window_end")}, c.e is not null as has_cp_near_boundary from means m left join c on c.hashtag = m.hashtag and c.e = m.e""")
+def guard_rule(v):
+    return labels.near_boundary(v.means, v.cps)
+
+
 @query("select hashtag, count(*) as n_windows, round(avg(cast(label as double)) * 100, 6) + 0e0 as pct_label from pred group by 1")
 def label_summary(v):
     return labels.label_summary(v.predictions, ["label"])

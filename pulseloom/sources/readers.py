@@ -70,3 +70,20 @@ def graph_edges(edges: DataFrame, weight: str = "weight") -> DataFrame:
     keys = [c for c in ("hashtag", "window_end") if c in edges.columns]
     pairs = edges.where(F.col("source") != F.col("target")).select(*keys, F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"), w.alias("w"))
     return pairs.groupBy(*keys, "u", "v").agg(F.max("w").alias("w"))
+
+
+def discover(table: DataFrame, keys: tuple[str, ...] = ("hashtag", "window_end")) -> DataFrame:
+    """The tags and windows that a partitioned table holds; reads partition names alone."""
+    return table.select(*keys).distinct()
+
+
+def guarded(edges: DataFrame, min_nodes: int = 1, keys: tuple[str, ...] = ("hashtag", "window_end")) -> DataFrame:
+    """Edges of graphs with at least min_nodes nodes."""
+    ends = edges.select(*keys, F.explode(F.array("u", "v")).alias("id")).groupBy(*keys).agg(F.count_distinct("id").alias("__n"))
+    return edges.join(ends.where(F.col("__n") >= min_nodes).select(*keys), list(keys), "left_semi")
+
+
+def read_embeddings(spark: SparkSession, path: str, column: str = "embedding") -> DataFrame:
+    """Node vectors as array<double>, with how many influencers and audience rows each group holds where a partition column says so."""
+    rows = spark.read.parquet(path)
+    return rows.withColumn(column, F.col(column).cast("array<double>"))
