@@ -300,3 +300,22 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, items: DataFrame
     """Keep documents that are not contaminated."""
     names = docs.columns
     return find_overlap(spark, docs, items).where(~contaminated()).select(*names)
+
+
+_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = f"regexp_extract_all({_ASCII}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE = f"""
+with d as (select row_number() over () as r, doc_id, {_SPLIT} as w from documents),
+i as (select coalesce(cast(item_id as varchar), 'null') as item, {_SPLIT} as w from benchmark),
+im as (select item, w, least({WINDOW}, len(w)) as m from i where len(w) > 0),
+iw as (select distinct item, m, array_to_string(list_slice(w, k, k + m - 1), ' ') as win from (select item, w, m, unnest(range(1, len(w) - m + 2)) as k from im)),
+dm as (select r, w, m from d, (select distinct m from iw) where len(w) >= m),
+dw as (select r, m, k, array_to_string(list_slice(w, k, k + m - 1), ' ') as win from (select r, w, m, unnest(range(1, len(w) - m + 2)) as k from dm)),
+hit as (select r, k, m, item from dw join iw using (m, win)),
+n as (select r, count(distinct p) as n_hit from (select r, unnest(range(k, k + m)) as p from hit) group by r),
+it as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from hit) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join n using (r) left join it using (r)
+"""

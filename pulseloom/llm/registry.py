@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_wu_manber_decontamination": decontam.ORACLE,
     "op4_mtree_top_k": mtree.ORACLE,
     "op5_arc_to_warc": warc.oracle(),
 }

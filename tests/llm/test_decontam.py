@@ -73,3 +73,13 @@ def test_query_and_stage(spark):
     kept = decontam.decontamination_stage(spark, docs, spark.read.parquet(f"{edge.SF}/benchmark.parquet"))
     assert bad and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - bad
     assert kept.columns == docs.columns
+
+
+def test_sql_twin(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{edge.SF}/{t}.parquet'")
+    got = [tuple(r) for r in decontam.op2_wu_manber_decontamination(spark, edge.SF).collect()]
+    assert sorted(con.sql(decontam.ORACLE).fetchall()) == sorted(got)
