@@ -269,7 +269,8 @@ def convert(spark: SparkSession, arc: str, warc: str, cfg: ArchiveConfig = Archi
     again = seen.join(first, F.col("digest") == F.col("d")).where("page_id is null or page_id <> first.page_id")
     refs = again.groupBy(F.col("path").alias("of")).agg(F.collect_list(F.struct("number", F.col("first.path").alias("path"), F.col("first.number").alias("at"), F.col("first.page_id").alias("page_id"))).alias("refs"))
     files = files_of(spark, arc)
-    held = files.join(refs, F.col("path") == F.col("of"), "left").select("path", "content", "refs")
+    # Revisits grow with the pages, so they aren't broadcast at any size; archives needn't be sorted to meet them.
+    held = files.join(refs.hint("shuffle_hash"), F.col("path") == F.col("of"), "left").select("path", "content", "refs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
