@@ -8,7 +8,8 @@ pre-token, joined to each document's pre-token frequencies, and summed.
 2. All other pre-tokens are shuffled by value, with their postings packed in four
    bytes each. The task that gets a pre-token counts its pieces once, joins the
    count to the postings and sums by document before anything leaves it.
-3. The sums return to their block, which adds them up by document.
+3. The sums return, packed, to their slice of a block, which adds them up by
+   document.
 
 Pre-tokens follow the vocabulary's own rules: texts are cut at special tokens
 (one id each), normalised (NFC, lower case) and split by its pattern.
@@ -47,6 +48,7 @@ class CountConfig:
     common: int = 6
     memo: int = 400_000
     flush: int = 2_000_000  # postings that a task sums at once
+    slice_docs: int = 2048  # documents of a block whose sums travel as one row and meet in one group
 
 
 def vocabulary_path(cfg: CountConfig) -> str:
@@ -220,24 +222,29 @@ def count_tokens(spark: SparkSession, docs: DataFrame, text: str = "text", doc_i
         many = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            """One row for each slice of a block, with the sums of its documents."""
             block, doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((doc, block))
             block, doc, n = block[order], doc[order], n[order]
             first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])])
-            total = np.add.reduceat(n, first)
-            m = len(first)
-            for a in range(0, m, 100_000):
-                at = first[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(block[at]), pa.nulls(len(at), kind), pa.nulls(len(at), pa.int64()), pa.array(doc[at]), pa.array(total[a : a + 100_000])], names=out_names)
+            block, doc, total = block[first], doc[first], np.add.reduceat(n, first)
+            part = doc // cfg.slice_docs
+            cut = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (part[1:] != part[:-1])])
+            pairs = np.stack([doc, total], axis=1).astype("<u4").ravel()
+            m = len(cut)
+            cols = [pa.array(block[cut]), pa.array(part[cut]), pa.nulls(m, kind), *(pa.nulls(m, pa.int64()) for _ in range(3)), binary(pairs, 2 * np.r_[cut, len(doc)])]
+            yield pa.RecordBatch.from_arrays(cols, names=out_names)
 
         kind = None
-        out_names = ["block", "doc_id", "n_bytes", "place", "sums"]
+        out_names = ["block", "slice", "doc_id", "n_bytes", "place", "sums", "packed"]
         for batch in batches:
             kind = batch.column(3).type
             value = batch.column(1)
-            meta = value.is_null()
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 3, 4, 5, 6)], names=out_names).filter(meta)
-            some = batch.filter(pc.invert(meta))
+            own = batch.filter(value.is_null())
+            place = own.column(5)
+            part = pa.array(place.to_numpy(zero_copy_only=False).astype(np.int64) // cfg.slice_docs)
+            yield pa.RecordBatch.from_arrays([own.column(0), part, own.column(3), own.column(4), place, own.column(6), pa.nulls(own.num_rows, pa.binary())], names=out_names)
+            some = batch.filter(value.is_valid())
             if not some.num_rows:
                 continue
             coded = some.column(1).dictionary_encode()
@@ -253,10 +260,19 @@ def count_tokens(spark: SparkSession, docs: DataFrame, text: str = "text", doc_i
         if held:
             yield from flush()
 
-    sums = dealt.mapInArrow(join, f"block long, doc_id {id_type}, n_bytes long, place long, sums long")
-    # One row of a document has its id and size; the others only sums.
-    added = sums.groupBy("block", "place").agg(F.max(F.when(F.col("n_bytes").isNotNull(), F.struct("n_bytes", "doc_id"))).alias("d"), F.sum("sums").alias("n_tokens"))
-    return added.select("d.doc_id", "d.n_bytes", "n_tokens")
+    def add_up(rows: pa.Table) -> pa.Table:
+        """Documents of a slice, with all their sums."""
+        here = rows.filter(pc.is_null(rows["packed"]))
+        place = here["place"].to_numpy()
+        pairs = np.frombuffer(b"".join(rows["packed"].drop_null().to_pylist()), "<u4").astype(np.int64).reshape(-1, 2)
+        base = int(place.min())
+        total = np.zeros(int(place.max()) - base + 1, np.int64)
+        np.add.at(total, place - base, here["sums"].to_numpy())
+        np.add.at(total, pairs[:, 0] - base, pairs[:, 1])
+        return pa.table([here["doc_id"], here["n_bytes"], pa.array(total[place - base])], names=["doc_id", "n_bytes", "n_tokens"])
+
+    sums = dealt.mapInArrow(join, f"block long, slice long, doc_id {id_type}, n_bytes long, place long, sums long, packed binary")
+    return sums.groupBy("block", "slice").applyInArrow(add_up, f"doc_id {id_type}, n_bytes long, n_tokens long")
 
 
 def op6_pretoken_counts(spark: SparkSession, sf_dir: str, cfg: CountConfig = CountConfig()) -> DataFrame:

@@ -16,7 +16,7 @@ def check(docs, out, cfg=tokencount.CountConfig()):
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in out.collect()) == want
 
 
-SMALL = tokencount.CountConfig(block_words=500, common=2, memo=100, flush=50)
+SMALL = tokencount.CountConfig(block_words=500, common=2, memo=100, flush=50, slice_docs=3)
 
 
 @pytest.mark.parametrize("cfg", [tokencount.CountConfig(), SMALL])
