@@ -27,15 +27,17 @@ def bipartite_edges(exposed: DataFrame, width: int = 90, step: int = 30, min_edg
 
 def bipartite_nodes(edges: DataFrame, adoption: DataFrame, exposed: DataFrame) -> DataFrame:
     """Influencer and audience rows with degrees and times: first adoption for influencers, first exposure for the audience; 0 where unknown. An id in both roles has two rows, each with both degrees."""
-    out = edges.groupBy(*KEYS, F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))
-    into = edges.groupBy(*KEYS, F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
-    roles = out.select(*KEYS, "id", F.lit("influencer").alias("partition")).unionByName(into.select(*KEYS, "id", F.lit("audience").alias("partition")))
+    end = F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
+    # One pass over the edges gives both degrees of an id; its roles follow from them.
+    degrees = edges.select(*KEYS, end.alias("x")).groupBy(*KEYS, "x.id").agg(F.sum("x.o").alias("out_degree"), F.sum("x.i").alias("in_degree"))
+    roles = F.filter(F.array(F.when(F.col("out_degree") > 0, "influencer"), F.when(F.col("in_degree") > 0, "audience")), lambda r: r.isNotNull())
+    rows = degrees.select(*KEYS, "id", F.explode(roles).alias("partition"), "out_degree", "in_degree")
     infl = adoption.select("hashtag", F.col("user").alias("id"), F.col("first_post_epoch").alias("node_ts_infl"))
     aud = exposed.groupBy("hashtag", F.col("B").alias("id")).agg(F.min("exposure_epoch").alias("node_ts_aud"))
-    full = roles.join(out, [*KEYS, "id"], "left").join(into, [*KEYS, "id"], "left").join(infl, ["hashtag", "id"], "left").join(aud, ["hashtag", "id"], "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("out_degree", "in_degree", "node_ts_infl", "node_ts_aud")}
+    full = rows.join(infl, ["hashtag", "id"], "left").join(aud, ["hashtag", "id"], "left")
+    known = {c: F.coalesce(c, F.lit(0)) for c in ("node_ts_infl", "node_ts_aud")}
     ts = F.when(F.col("partition") == "influencer", F.col("node_ts_infl")).otherwise(F.col("node_ts_aud"))
-    return full.withColumns(zero).withColumn("ts", ts).select(*KEYS, "id", "partition", "out_degree", "in_degree", "node_ts_infl", "node_ts_aud", "ts")
+    return full.withColumns(known).withColumn("ts", ts).select(*KEYS, "id", "partition", "out_degree", "in_degree", "node_ts_infl", "node_ts_aud", "ts")
 
 
 def _sides(side: str) -> tuple[str, str]:

@@ -16,25 +16,32 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def basic_stats(edges: DataFrame, name: str) -> DataFrame:
-    nodes = node_degrees(edges).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    count = edges.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("e"))
+    """Nodes, edges and density; edges are counted as half of all degrees, in the pass that counts nodes."""
+    size = node_degrees(edges).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), (F.sum("degree") / 2).cast("long").alias("e"))
     n = F.col("n").cast("double")
-    return nodes.join(count, KEYS).select(*KEYS, F.col("n").alias(f"net_{name}_n_nodes"), F.col("e").alias(f"net_{name}_n_edges"), divide(F.col("e").cast("double"), n * (n - 1) / 2).alias(f"net_{name}_density"))
+    return size.select(*KEYS, F.col("n").alias(f"net_{name}_n_nodes"), F.col("e").alias(f"net_{name}_n_edges"), divide(F.col("e").cast("double"), n * (n - 1) / 2).alias(f"net_{name}_density"))
 
 
 def gini(values: DataFrame, keys: list[str], column: str) -> DataFrame:
     """keys and the Gini coefficient of a column; 0 where all are zero."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(column))
     ranked = values.select(*keys, F.col(column).cast("double").alias("x"), rank.alias("i"))
+    return ranked.groupBy(*keys).agg(_gini().alias("gini"))
+
+
+def _gini() -> Column:
+    """Over values x with ranks i."""
     n, total = F.count(F.lit(1)).cast("double"), F.sum("x")
-    return ranked.groupBy(*keys).agg(F.when(total > 0, 2.0 * F.sum(F.col("i") * F.col("x")) / (n * total) - (n + 1) / n).otherwise(0.0).alias("gini"))
+    return F.when(total > 0, 2.0 * F.sum(F.col("i") * F.col("x")) / (n * total) - (n + 1) / n).otherwise(0.0)
 
 
 def degree_stats(edges: DataFrame, name: str) -> DataFrame:
-    degree = node_degrees(edges)
-    d = F.col("degree").cast("double")
-    stats = degree.groupBy(*KEYS).agg(F.avg(d).alias(f"net_{name}_avg_degree"), F.max("degree").alias(f"net_{name}_max_degree"), F.stddev_pop(d).alias(f"net_{name}_std_degree"))
-    return stats.join(gini(degree, KEYS, "degree").withColumnRenamed("gini", f"net_{name}_degree_gini"), KEYS)
+    """Mean, largest and deviation of degrees and their Gini coefficient, in one aggregation over ranked degrees."""
+    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy("degree"))
+    ranked = node_degrees(edges).select(*KEYS, "degree", F.col("degree").cast("double").alias("x"), rank.alias("i"))
+    return ranked.groupBy(*KEYS).agg(
+        F.avg("x").alias(f"net_{name}_avg_degree"), F.max("degree").alias(f"net_{name}_max_degree"), F.stddev_pop("x").alias(f"net_{name}_std_degree"), _gini().alias(f"net_{name}_degree_gini")
+    )
 
 
 def triangles(edges: DataFrame) -> DataFrame:
