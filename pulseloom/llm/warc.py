@@ -3,8 +3,8 @@
 ARC files are read as binary files of bounded size and parsed by their version
 block, the header line of that version and the declared lengths. The converter
 synthesises WARC records from them: identifiers from the record's place,
-timestamps from the 14-digit dates, types from the URL scheme, digests from
-payload and block. A first pass over the archives yields digests alone; equal
+timestamps from the 14-digit dates, types from place and block (whatever the
+URL), digests from payload and block. A first pass over the archives yields digests alone; equal
 payloads are grouped by them, the one with the smallest page_id is the response
 and the others become revisits that refer to it. What refers where returns to
 each file by its path, so that no payload is shuffled and no hot payload gathers
@@ -193,15 +193,15 @@ def record_id(name: str, number: int) -> str:
     return f"<urn:uuid:{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:]}>"
 
 
-def warc_type(url: str) -> str:
-    scheme = url.partition(":")[0].lower()
-    return "warcinfo" if scheme == "filedesc" else "response" if scheme in ("http", "https", "unknown") else "resource"
+def warc_type(url: str, number: int = -1, block: bytes = b"") -> str:
+    """Only the version block, number -1, is warcinfo; a page's URL does not decide anything."""
+    return "warcinfo" if number < 0 else "response" if block.startswith(b"HTTP/") else "resource"
 
 
 def warc_record(name: str, r: ArcRecord, refers: tuple[str, int, int] | None) -> bytes:
     """The WARC equivalent, without the final separator. refers: file, number and page_id of the response with the same payload."""
     d = r.date.ljust(14, "0")
-    kind = "revisit" if refers else warc_type(r.url)
+    kind = "revisit" if refers else warc_type(r.url, r.number, r.block)
     block, payload_digest = r.block, None
     if kind in ("response", "revisit"):
         _, head, payload = split_http(r.block)
@@ -246,7 +246,7 @@ def arc_digests(files: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 path, out = batch.column(0)[k].as_py(), []
                 for r in read_arc(batch.column(1)[k].as_buffer()):
-                    if r.number >= 0:
+                    if r.number >= 0 and r.block.startswith(b"HTTP/"):
                         fields, _, payload = split_http(r.block)
                         page = fields.get(b"X-Page-Id")
                         out.append((path, r.number, None if page is None else int(page), hashlib.sha1(payload).digest(), len(payload)))

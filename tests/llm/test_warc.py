@@ -77,3 +77,10 @@ def test_both_versions_and_records():
         assert [b for _, b in back] == [r.block for r in records]
         assert back[1][0]["WARC-Date"] == "2024-01-01T00:00:05Z" and back[0][0]["WARC-Type"] == "warcinfo"
         assert len({f["WARC-Record-ID"] for f, _ in back}) == len(back)
+
+
+def test_pages_of_any_url(spark, tmp_path):
+    urls = ["ftp://x/a", "example.com/x", " ", "", None, "filedesc://f", "FILEDESC:x", "mailto:a@b", "\t:\n"]
+    rows = [(2 * k + c, u if not c else "http://copy/", f"page {k}") for k, u in enumerate(urls) for c in (0, 1)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], PAGES)
+    assert got(spark, pages, tmp_path) == brute(rows)
