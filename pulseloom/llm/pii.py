@@ -6,10 +6,12 @@
 2. Every candidate has a few discrete features of its format and context. All
    candidates of the corpus are counted into the cells of this feature grid
    (at most `len(grid)` rows reach the driver, whatever the input), by whether
-   they coincide with a base span. Boosted trees are fitted to those counts.
+   they pass the check of their kind (domain shape, octets, Luhn, digit count),
+   in whatever format they are written. Boosted trees are fitted to those counts.
 3. The trees become nested CASE expressions. A threshold per kind is calibrated
    on the half of the values that the trees did not see; a proposed span that
-   reaches it is added. Redaction replaces each span by its kind.
+   reaches it and passes its check is added. Where too few candidates are there
+   to calibrate on, the check alone decides. Redaction replaces each span by its kind.
 
 The patterns are written with possessive quantifiers and guards, which match
 what the plain patterns match, without recursion or repeated scans of long runs.
@@ -108,7 +110,7 @@ def described(text: Column, kind: str, c: Column) -> Column:
     v, n = c["v"], digits(c["v"])
     before = F.substring(text, F.greatest(c["s"] - 11, F.lit(1)), F.least(c["s"], F.lit(12)))
     count = F.length(n)
-    passes = {"email": v.rlike(r"\.[A-Za-z]{2,}$"), "ip": octets(v) & (F.size(F.split(v, "\\.")) == 4), "card": count.between(13, 19) & luhn(n), "phone": count.between(9, 15)}[kind]
+    passes = {"email": v.rlike(r"(?:\.|[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z]{2,}$"), "ip": octets(v) & (F.size(F.split(v, "\\.")) == 4), "card": count.between(13, 19) & luhn(n), "phone": count.between(9, 15)}[kind]
     return F.struct(
         c["s"].alias("s"),
         c["e"].alias("e"),
@@ -192,7 +194,7 @@ def tree_value(tree, cell: Cell) -> float:
 class PiiModel:
     bias: float
     trees: tuple
-    thresholds: tuple[float, ...]  # per kind; infinite: nothing is added
+    thresholds: tuple[float, ...]  # per kind; infinite: nothing is added; minus infinite: whatever passes its check is
 
     def value(self, cell: Cell) -> float:
         return self.bias + sum(tree_value(t, cell) for t in self.trees)
@@ -232,22 +234,26 @@ def fit(docs: DataFrame, text: str = "text", cfg: PiiConfig = PiiConfig()) -> Pi
     """Count all candidates of docs into feature cells, fit the trees on one half of the values and calibrate on the other."""
     spanned = with_spans(docs.select(F.col(text).alias("text")))
 
-    def labelled(i: int, kind: str):
+    def labelled(i: int):
         def one(c: Column) -> Column:
-            holds_too = F.exists(f"__base_{kind}", lambda b: (b["s"] == c["s"]) & (b["e"] == c["e"]))
             half = F.crc32(c["v"].cast("binary")) % 2
-            return F.struct(F.lit(i).alias("kind"), *(c[f].alias(f) for f in FEATURES), half.cast("int").alias("half"), holds_too.cast("int").alias("y"))
+            return F.struct(F.lit(i).alias("kind"), *(c[f].alias(f) for f in FEATURES), half.cast("int").alias("half"), c["passes"].alias("y"))
 
         return one
 
-    named = F.concat(*(F.transform(f"__wide_{k}", labelled(i, k)) for i, k in enumerate(KINDS)))
+    named = F.concat(*(F.transform(f"__wide_{k}", labelled(i)) for i, k in enumerate(KINDS)))
     cells = spanned.select(F.explode(named).alias("c")).select("c.*").groupBy("kind", *FEATURES, "half").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).collect()
     halves: tuple[dict, dict] = ({}, {})
     for r in cells:
         halves[r["half"]][(r["kind"], *(r[f] for f in FEATURES))] = (float(r["y"]), float(r["n"]))
     bias, trees = fit_trees(halves[0], cfg)
     raw = PiiModel(bias, tuple(trees), (math.inf,) * len(KINDS))
-    return PiiModel(bias, tuple(trees), tuple(calibrated(raw, halves[1], i, cfg) for i in range(len(KINDS))))
+
+    def limit(i: int) -> float:
+        few = sum(y for c, (y, _) in halves[1].items() if c[0] == i) < cfg.min_support
+        return -math.inf if few else calibrated(raw, halves[1], i, cfg)
+
+    return PiiModel(bias, tuple(trees), tuple(limit(i) for i in range(len(KINDS))))
 
 
 def calibrated(model: PiiModel, cells: dict[Cell, tuple[float, float]], kind: int, cfg: PiiConfig) -> float:
@@ -269,7 +275,8 @@ def detect(docs: DataFrame, model: PiiModel, text: str = "text") -> DataFrame:
     def added(i: int, kind: str, limit: float):
         def one(c: Column) -> Column:
             clash = F.exists(f"__base_{kind}", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-            return (model.column(i, c) >= limit - 1e-9) & ~clash
+            reached = F.lit(True) if limit == -math.inf else model.column(i, c) >= limit - 1e-9
+            return (c["passes"] == 1) & reached & ~clash
 
         return one
 
@@ -278,7 +285,7 @@ def detect(docs: DataFrame, model: PiiModel, text: str = "text") -> DataFrame:
         base = F.transform(f"__base_{k}", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
         done[f"__base_{k}"] = base
         limit = model.thresholds[i]
-        if math.isinf(limit):
+        if limit == math.inf:
             done[f"__all_{k}"] = base
             continue
         more = F.transform(F.filter(f"__wide_{k}", added(i, k, limit)), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))

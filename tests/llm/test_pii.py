@@ -85,3 +85,25 @@ def test_redaction_and_edges(spark):
     assert text[16].text.startswith("mail [EMAIL], [IP] or 10.0.0.256; card [CARD] and 4111111111111112, call [PHONE].")
     assert text[16].n_chars == len(text[16].text) and text[2].text is None and text[8].text == edge.LONG
     assert pii.pii_stage(spark, edge.empty_docs(spark)).count() == 0
+
+
+def test_formats_that_the_base_misses_are_found_at_any_frequency(spark):
+    def card(k, sep):
+        body = f"4{k:014d}"
+        number = next(n for n in (f"{body}{c}" for c in range(10)) if luhn(n))
+        return sep.join(number[i : i + 4] for i in range(0, 16, 4))
+
+    forms = {
+        "phone": lambda k: f"call ({200 + k % 700}) 555-{k % 10_000:04d} now",
+        "email": lambda k: f"write to user{k} [at] host{k % 7} [dot] com now",
+        "card": lambda k: f"the card {card(k, '.')} is new",
+    }
+    for many in (1, 30, 600):
+        texts = [make(k) for make in forms.values() for k in range(many)]
+        texts += [f"mail a{k}@b.org, {card(k, '-')} and +49 30 1234{k:04d}" for k in range(300)]
+        wrong = [f"the card {card(k, '.')[:-1]}{(int(card(k, '.')[-1]) + 1) % 10} is new" for k in range(200)]
+        out = {r.text: r.text2 for r in pii.pii_stage(spark, spark.createDataFrame([(t,) for t in texts + wrong], "text string").selectExpr("text")).select(F.col("text"), F.col("text").alias("text2")).collect()}
+        left = [t for t in out if any(x in t for x in ("555-", "[at]"))]
+        assert not left
+        cards = [t for t in out if t.startswith("the card ")]
+        assert "the card [CARD] is new" in cards and len(cards) == 201
