@@ -250,8 +250,8 @@ def components(spark: SparkSession, edges: DataFrame, what: str) -> DataFrame:
         step += 1
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
-    """(doc_id, fp long, component_id): one row for each row of docs."""
+def grouped(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
+    """(doc_id, fp long, component_id, root long): one row for each row of docs; root is a fingerprint that only one component has."""
     base = scratch(spark, "simhash")
 
     def make(batch: pa.RecordBatch) -> list:
@@ -272,8 +272,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", do
     # Only groups of several fingerprints differ from the smallest id of their own fingerprint.
     named = grouped.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r"), "left")
     heads = own.select(F.col("fp").alias("head"), F.col("least").alias("head_least"))
-    named = named.join(heads, F.col("root") == F.col("head"), "left").select(F.col("fp").alias("of"), F.least("low", "head_least").alias("component_id"))
-    return marked.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    named = named.join(heads, F.col("root") == F.col("head"), "left").select(F.col("fp").alias("of"), F.least("low", "head_least").alias("component_id"), "root")
+    return marked.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id", "root")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
+    """(doc_id, fp long, component_id): one row for each row of docs."""
+    return grouped(spark, docs, text, doc_id, cfg).select("doc_id", "fp", "component_id")
 
 
 def op8_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +294,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, cfg: SimHashConfig = Sim
     each other where they fall into one group; one of them stays there.
     """
     base = scratch(spark, "simhash-stage")
-    near_duplicates(spark, docs, cfg=cfg).where(F.col("doc_id").isNotNull()).write.parquet(f"{base}/found")
+    grouped(spark, docs, cfg=cfg).where(F.col("doc_id").isNotNull()).write.parquet(f"{base}/found")
     found = spark.read.parquet(f"{base}/found")
     verdict = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"), F.min("component_id").alias("__c"))
     verdict = verdict.where("__n > 1 or doc_id <> __c").select(F.col("doc_id").alias("__id"), "__n")
@@ -300,6 +305,6 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, cfg: SimHashConfig = Sim
     several = held.where("__n > 1").select(*docs.columns)
     at = docs.columns.index("text")
     printed = append_columns(several, lambda batch: [pa.array(fingerprints(batch.column(at), cfg).view(np.int64))], [T.StructField("__fp", T.LongType())])
-    winners = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__of")).distinct()
+    winners = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__of"), F.col("root").alias("__root")).distinct()
     won = printed.join(winners, (printed["doc_id"] == winners["__id"]) & (printed["__fp"] == winners["__of"]))
-    return kept.unionByName(won.dropDuplicates(["__id"]).select(*docs.columns))
+    return kept.unionByName(won.dropDuplicates(["__id", "__root"]).select(*docs.columns))

@@ -101,3 +101,10 @@ def test_stage_keeps_one_of_each_group(spark):
     again = edge.docs(spark).where("doc_id = 7 or doc_id = 8 or doc_id is null")
     assert sorted(str(r.doc_id) for r in simhash.simhash_stage(spark, again).collect()) == ["7", "8", "None", "None"]
     assert simhash.simhash_stage(spark, edge.empty_docs(spark)).count() == 0
+
+
+def test_stage_keeps_unrelated_texts_of_one_id(spark):
+    a, b = (" ".join(f"{p}{k}" for k in range(40)) for p in "ab")
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x", "y", 3, 4, "z", "w") for i, t in rows], edge.DOCS)
+    assert sorted((r.doc_id, r.text) for r in simhash.simhash_stage(spark, docs).collect()) == [(1, a), (1, b)]
