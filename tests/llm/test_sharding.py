@@ -35,11 +35,50 @@ def test_edges(spark, tmp_path):
 
 def test_several_buckets(spark):
     docs = spark.range(3000)
-    out = sharding.spread(spark, docs, [docs["id"]], sharding.ShuffleConfig(shards=2, rows_per_task=10)).collect()
+    out = sharding.spread(spark, docs, sharding.ShuffleConfig(shards=2, rows_per_task=10)).collect()
     assert sorted((r["__shard"], r["__slot"]) for r in out) == [(k, s) for k in range(2) for s in range(1500)]
     assert sorted(r.id for r in out) == list(range(3000))
 
 
+def test_copies_are_spread_like_other_rows(spark):
+    """Of 5,000 rows that occur twice, a sixteenth share a shard, and few of these sit side by side."""
+    docs = spark.range(10_000).selectExpr("id % 5000 as id", "'x' as __h").repartition(4)
+    together = beside = 0
+    for seed in range(4):
+        places = {}
+        for r in sharding.spread(spark, docs, sharding.ShuffleConfig(seed=seed)).collect():
+            places.setdefault(r.id, []).append((r["__shard"], r["__slot"]))
+        pairs = [sorted(x) for x in places.values()]
+        assert all(len(x) == 2 for x in pairs)
+        together += sum(a[0] == b[0] for a, b in pairs)
+        beside += sum(a[0] == b[0] and b[1] - a[1] == 1 for a, b in pairs)
+    mean = 4 * 5000 * 624 / 9999
+    assert abs(together - mean) < 6 * mean**0.5 and beside <= 20
+
+
+def test_one_row_many_times(spark):
+    """No hash partition gets more than its share when all rows are equal."""
+    docs = spark.range(40_000).selectExpr("7 as id")
+    out = sharding.spread(spark, docs, sharding.ShuffleConfig(shards=4, min_partitions=16))
+    assert sorted((r["__shard"], r["__slot"]) for r in out.collect()) == [(k, s) for k in range(4) for s in range(10_000)]
+
+
+def test_log_chance_at_any_size():
+    from fractions import Fraction
+    from math import comb, log
+
+    for good, bad, draws, k in ((7, 13, 6, 2), (500, 700, 300, 125), (50, 7000, 300, 0), (40, 60, 50, 40)):
+        want = Fraction(comb(good, k) * comb(bad, draws - k), comb(good + bad, draws))
+        assert abs(sharding.log_chance(k, good, bad, draws) - log(want)) < 1e-11
+    # 10**11 rows: the mode's chance is that of the normal law, to the law's own error.
+    good, bad, draws = 10**11, 15 * 10**11, 10**10
+    mode = draws * good // (good + bad)
+    spread = draws * (good / (good + bad)) * (bad / (good + bad)) * ((good + bad - draws) / (good + bad - 1))
+    from math import pi
+
+    assert abs(sharding.log_chance(mode, good, bad, draws) + 0.5 * log(2 * pi * spread)) < 1e-7
+
+
 def test_hypergeometric_law():
     rng = random.Random(1)
     n = 20_000
@@ -70,5 +109,5 @@ def test_positions_are_uniform(spark):
     seen = Counter()
     for seed in range(40):
         cfg = sharding.ShuffleConfig(shards=2, seed=seed, min_partitions=4)
-        seen.update((r["__shard"], r["__slot"] // 16) for r in sharding.spread(spark, docs, [docs["id"]], cfg).where("id < 16").collect())
+        seen.update((r["__shard"], r["__slot"] // 16) for r in sharding.spread(spark, docs, cfg).where("id < 16").collect())
     assert len(seen) == 4 and all(abs(n - 160) < 60 for n in seen.values())
