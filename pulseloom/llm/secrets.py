@@ -2,16 +2,30 @@
 
 Base patterns give labelled credentials. For each kind a prefix tree of a bounded
 sample of them (the `sample` distinct values with the smallest hashes, over all
-documents) is generalised into a probabilistic automaton: states merge where
-their end and transition frequencies agree within Hoeffding's bound, and the
-merge is folded into a deterministic automaton. One more automaton learns other
-long tokens. Every long token of every text is then scored by its log-likelihood
-per character under each kind against the other tokens; tokens above the kind's
-threshold, calibrated on the sample's second half, are added to the base spans.
+documents) is generalised into a probabilistic automaton over characters:
+
+1. States of one depth merge where end and transition frequencies agree within
+   Hoeffding's bound, all the way down. States with few visits have little to
+   say against that, so random characters become one path per depth, while
+   lengths, literal prefixes and fixed separators keep their states.
+2. What is left has the visits of a whole depth in few states. Only now states
+   of different depths may merge (into loops, for formats of any length), and
+   only with at least `visits` visits on both sides: a state that few values
+   reach keeps its depth.
+
+The other side is a trigram model of characters whose counts are of all
+unlabelled runs of all documents. Every run of 6 or more characters of
+`[A-Za-z0-9+/_.=-]` in every text is scored by the log-likelihood ratio of each
+kind's automaton to that model; where the run itself isn't accepted, its pieces
+between `.`, `/` and `=` are scored alike. A kind's limit is the ratio at which
+a credential is `odds` times as probable as a plain run, given how many runs and
+labelled credentials the documents hold; it is never less than half of what
+nearly all labelled values of the sample's other half reach.
 
 Cases: null text is empty and has no span; positions are code points, end
 exclusive; repeated rows are separate; without labelled credentials of a kind
-nothing is added for it; a token that overlaps a base span is not added.
+nothing is added for it; what overlaps a base span is not added; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,32 +33,38 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, strings, table
+from .common import drop_path, scratch, strings, table
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-_DIGIT = re.compile(r"[0-9]")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+_PIECE = re.compile(r"[A-Za-z0-9+_-]{6,}")
+_SHORTEST = 6
 
 
 @dataclass(frozen=True)
 class SecretConfig:
     sample: int = 1500  # labelled values of each kind that are learned from; documented bound
-    others: int = 1500  # other tokens
+    longest: int = 256  # longer values are not learned from
     alpha: float = 0.01  # of Hoeffding's bound
-    margin: float = 0.25  # bits per character above the other tokens
-    unlabelled: float = 0.02  # share of other tokens that may be credentials without a label
+    visits: int = 200  # of both states, where depths differ
+    odds: float = 100.0  # of a credential to a plain run, for a span to be added
+    unlabelled: float = 0.1  # credentials without a label that are expected for each one with
+    usual: float = 0.02  # share of labelled values that may be atypical
+    typical: float = 0.5  # of the ratio that all other labelled values reach is the least for a span
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -68,30 +88,18 @@ def credential(text: str, span: tuple[int, int, int]) -> str:
     return m[2] if m else part
 
 
-def tokens(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Long tokens with a digit that overlap no base span."""
-    if not _DIGIT.search(text):
-        return
-    at = 0
-    for m in _TOKEN.finditer(text):
-        while at < len(base) and base[at][1] <= m.start():
-            at += 1
-        if _DIGIT.search(m[0]) and not any(b[0] < m.end() and m.start() < b[1] for b in base[at : at + 4]):
-            yield m.start(), m.end()
-
-
-_CLASS = {c: "d" for c in "0123456789"} | {c: "x" for c in "abcdef"} | {c: "l" for c in "ghijklmnopqrstuvwxyz"} | {c: "X" for c in "ABCDEF"} | {c: "U" for c in "GHIJKLMNOPQRSTUVWXYZ"}
-ALPHABET = sorted({*_CLASS.values(), *"+/_=-."})
-
-
-def symbols(value: str) -> str:
-    return "".join(_CLASS.get(c, c) for c in value)
+_CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", *"+/_.=-")
+ALPHABET = "".join(_CLASSES)
+_CLASS = {c: k for k, own in enumerate(_CLASSES) for c in own}
+_END = len(_CLASSES)  # the class of a word's end
 
 
 class Automaton:
-    """A probabilistic automaton from a prefix tree with merged states."""
+    """A deterministic probabilistic automaton: a prefix tree with merged states. State 0 is the first."""
 
-    def __init__(self, words: list[str], alpha: float):
+    floor = 0.05  # visits that each class has in advance
+
+    def __init__(self, words: list[str], cfg: SecretConfig = SecretConfig()):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
         self.end, self.total = [0], [0]
@@ -109,135 +117,330 @@ class Automaton:
                 s = self.next[s][c]
             self.total[s] += 1
             self.end[s] += 1
-        self.bound = math.sqrt(0.5 * math.log(2.0 / alpha))
-        self._merge()
+        self.bound = math.sqrt(0.5 * math.log(2.0 / cfg.alpha))
+        self._merge_depths()
+        self._keep(self._reachable())
+        self._merge_loops(cfg.visits)
+        self._keep(self._reachable())
+        self._steps: dict[tuple[int, str], tuple[float, int]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_steps": {}}
 
     def _differ(self, f: int, n: int, g: int, m: int) -> bool:
         return abs(f / n - g / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
-    def _compatible(self, a: int, b: int) -> bool:
-        """Whether frequencies agree in two states and, along equal symbols, below them."""
-        todo = [(a, b)]
+    def _disagree(self, a: int, b: int) -> bool:
+        """Whether the frequencies of two states themselves differ."""
+        n, m = self.total[a], self.total[b]
+        if self._differ(self.end[a], n, self.end[b], m):
+            return True
+        return any(self._differ(self.count[a].get(c, 0), n, self.count[b].get(c, 0), m) for c in self.count[a].keys() | self.count[b].keys())
+
+    def _compatible(self, a: int, b: int, visits: int = 1, known: set[tuple[int, int]] | None = None) -> bool:
+        """Whether two states agree and, along equal symbols, the states below them that have enough visits. known: pairs that don't; those found on the way join it."""
+        todo, above = [(a, b)], {(a, b): None}
         while todo:
-            a, b = todo.pop()
-            n, m = self.total[a], self.total[b]
-            if not n or not m:
+            pair = todo.pop()
+            a, b = pair
+            if a == b or min(self.total[a], self.total[b]) < visits:
                 continue
-            if self._differ(self.end[a], n, self.end[b], m):
+            if known is not None and pair in known or self._disagree(a, b):
+                while known is not None and pair is not None:
+                    known.add(pair)
+                    pair = above[pair]
                 return False
-            for c in self.count[a].keys() | self.count[b].keys():
-                if self._differ(self.count[a].get(c, 0), n, self.count[b].get(c, 0), m):
-                    return False
-                if c in self.next[a] and c in self.next[b]:
-                    todo.append((self.next[a][c], self.next[b][c]))
+            for c in self.next[a].keys() & self.next[b].keys():
+                below = (self.next[a][c], self.next[b][c])
+                if below not in above:
+                    above[below] = pair
+                    todo.append(below)
         return True
 
+    def _add(self, a: int, b: int) -> None:
+        self.total[a] += self.total[b]
+        self.end[a] += self.end[b]
+        for c, n in self.count[b].items():
+            self.count[a][c] = self.count[a].get(c, 0) + n
+
     def _fold(self, into: int, tree: int) -> None:
-        """Add a subtree's counts to a state and, along equal symbols, below it."""
+        """Add a subtree to a state and, along equal symbols, below it."""
         todo = [(into, tree)]
         while todo:
             a, b = todo.pop()
-            self.total[a] += self.total[b]
-            self.end[a] += self.end[b]
-            for c, n in self.count[b].items():
-                self.count[a][c] = self.count[a].get(c, 0) + n
+            self._add(a, b)
+            for c, child in self.next[b].items():
                 if c in self.next[a]:
-                    todo.append((self.next[a][c], self.next[b][c]))
+                    todo.append((self.next[a][c], child))
                 else:
-                    self.next[a][c] = self.next[b][c]
-
-    def _merge(self) -> None:
-        red = [0]
-        while True:
-            known = set(red)
-            blue = [(r, c) for r in red for c in sorted(self.next[r]) if self.next[r][c] not in known]
-            if not blue:
-                return
-            r, c = max(blue, key=lambda x: self.total[self.next[x[0]][x[1]]])
-            state = self.next[r][c]
-            for other in red:
-                if self._compatible(other, state):
-                    self.next[r][c] = other
-                    self._fold(other, state)
+                    self.next[a][c] = child
+
+    def _merge_depths(self) -> None:
+        """Merge within each depth, from the first on: afterwards a depth has no two compatible states."""
+        level = [0]
+        while level:
+            waiting = sorted(((r, c) for r in level for c in self.next[r]), key=lambda x: (-self.total[self.next[x[0]][x[1]]], x))
+            level = []
+            for r, c in waiting:
+                state = self.next[r][c]
+                for other in level:
+                    if self._compatible(other, state):
+                        self.next[r][c] = other
+                        self._fold(other, state)
+                        break
+                else:
+                    level.append(state)
+
+    def _merge_loops(self, visits: int) -> None:
+        """Merge states of different depths that have enough visits to tell."""
+        kept: list[int] = []
+        gone: dict[int, int] = {}
+        apart: set[tuple[int, int]] = set()
+
+        def now(s: int) -> int:
+            while s in gone:
+                s = gone[s]
+            return s
+
+        for s in range(len(self.next)):
+            if s in gone or self.total[s] < visits:
+                continue
+            for other in kept:
+                if other not in gone and self._compatible(other, s, visits, apart):
+                    todo = [(other, s)]
+                    while todo:
+                        a, b = map(now, todo.pop())
+                        if a == b:
+                            continue
+                        gone[b] = a
+                        self._add(a, b)
+                        for c, child in self.next[b].items():
+                            if c in self.next[a]:
+                                todo.append((self.next[a][c], child))
+                            else:
+                                self.next[a][c] = child
+                    for own in self.next:
+                        for c in own:
+                            own[c] = now(own[c])
                     break
             else:
-                red.append(state)
+                kept.append(s)
+
+    def _reachable(self) -> list[int]:
+        """States by their distance from the first."""
+        order, met = [0], {0}
+        for s in order:
+            for c in sorted(self.next[s]):
+                if self.next[s][c] not in met:
+                    met.add(self.next[s][c])
+                    order.append(self.next[s][c])
+        return order
+
+    def _keep(self, order: list[int]) -> None:
+        at = {s: k for k, s in enumerate(order)}
+        self.next = [{c: at[t] for c, t in self.next[s].items()} for s in order]
+        self.count, self.end, self.total = ([x[s] for s in order] for x in (self.count, self.end, self.total))
+
+    def chance(self, s: int, c: str | None) -> float:
+        """Probability of a character, or of the end (None), in a state.
+
+        Counts are smoothed by the state's character classes, which weigh as
+        much as the state has seen different characters: little at a literal,
+        much where characters are random.
+        """
+        n, weight = self.total[s], len(self.count[s]) + (self.end[s] > 0)
+        if c is None:
+            k, seen, size = _END, self.end[s], 1
+            of_class = seen
+        else:
+            k, seen = _CLASS[c], self.count[s].get(c, 0)
+            size, of_class = len(_CLASSES[k]), sum(self.count[s].get(x, 0) for x in _CLASSES[k])
+        share = (of_class + self.floor) / (n + self.floor * (_END + 1)) / size
+        return (seen + weight * share) / (n + weight)
+
+    def step(self, s: int, c: str) -> tuple[float, int]:
+        """Bits of a character and the state after it: for one that the state has not seen, where most of its values go."""
+        if (s, c) not in self._steps:
+            to = self.next[s].get(c)
+            if to is None:
+                to = self.next[s][max(self.count[s], key=lambda x: (self.count[s][x], x))] if self.count[s] else s
+            self._steps[s, c] = (math.log2(self.chance(s, c)), to)
+        return self._steps[s, c]
 
     def bits(self, word: str) -> float:
-        """Log-likelihood in bits, smoothed."""
-        s, out, k = 0, 0.0, len(ALPHABET) + 1
+        """Log-likelihood of a word, in bits."""
+        s, out = 0, 0.0
         for c in word:
-            if s is None:
-                out -= math.log2(k)
-                continue
-            out += math.log2((self.count[s].get(c, 0) + 0.1) / (self.total[s] + 0.1 * k))
-            s = self.next[s].get(c)
-        if s is not None:
-            out += math.log2((self.end[s] + 0.1) / (self.total[s] + 0.1 * k))
-        return out
+            more, s = self.step(s, c)
+            out += more
+        return out + math.log2(self.chance(s, None))
+
+
+_N = len(ALPHABET) + 1
+_CODE = np.zeros(256, np.uint8)
+_CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, _N, dtype=np.uint8)
+
+
+def run_counts(text: str) -> tuple[np.ndarray, int]:
+    """Counts of (before, character, next) over the runs of a text, 0 for what is outside, and the number of runs."""
+    code = _CODE[np.frombuffer(f"\n\n{text}\n".encode("utf-8", "surrogatepass"), np.uint8)]
+    inside = code > 0
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    short = end - start < _SHORTEST
+    turn = np.zeros(len(code) + 1, np.int8)
+    turn[start[short]] = 1
+    turn[end[short]] -= 1
+    code[np.cumsum(turn[:-1], dtype=np.int8) > 0] = 0
+    out = np.zeros(_N**3, np.int64)
+    for a in range(2, len(code), 1 << 20):
+        z = code[a : a + (1 << 20)].astype(np.int32)
+        y, x = (code[a - k : a - k + len(z)].astype(np.int32) for k in (1, 2))
+        x[y == 0] = 0
+        out += np.bincount(((x * _N + y) * _N + z)[(y > 0) | (z > 0)], minlength=_N**3)
+    return out, int((~short).sum())
+
+
+class Plain:
+    """Trigrams of characters, interpolated with bigrams and single characters.
+
+    A context counts as far as a thousandth of all runs has it, so that a rare
+    run, and one that a few thousand copies repeat, can't explain itself.
+    """
+
+    share, least = 1e-3, 5.0
+
+    def __init__(self, counts: np.ndarray, runs: int):
+        n, weight = counts.reshape(_N, _N, _N).astype(float), max(self.least, self.share * runs)
+        pair, one = n.sum(0), n.sum((0, 1))
+        single = (one + 1) / (one.sum() + _N)
+        double = (pair + weight * single) / (pair.sum(1, keepdims=True) + weight)
+        self.table = np.log2((n + weight * double) / (n.sum(2, keepdims=True) + weight)).astype(np.float32)
+
+    def bits(self, word: str) -> float:
+        code = _CODE[np.frombuffer(f"  {word} ".encode(), np.uint8)]
+        return float(self.table[code[:-2], code[1:-1], code[2:]].sum())
 
 
 @dataclass
 class SecretModel:
     kinds: list[Automaton | None]
-    other: Automaton
+    plain: Plain
     limits: list[float]
+    rejected: set[str] = field(default_factory=set)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rejected": set()}
 
     def score(self, value: str) -> list[float]:
-        w = symbols(value)
-        ground = self.other.bits(w)
-        return [-math.inf if a is None else (a.bits(w) - ground) / len(w) for a in self.kinds]
+        """Log-likelihood ratio of each kind, in bits."""
+        ground = self.plain.bits(value)
+        return [-math.inf if a is None else a.bits(value) - ground for a in self.kinds]
 
     def kind(self, value: str) -> int | None:
-        scores = self.score(value)
-        k = max(range(len(scores)), key=lambda i: scores[i])
-        return k if scores[k] >= self.limits[k] else None
+        """The kind whose limit is exceeded by most."""
+        over = [s - limit if s >= limit else -math.inf for s, limit in zip(self.score(value), self.limits, strict=True)]
+        k = max(range(len(over)), key=over.__getitem__)
+        return k if over[k] >= 0 else None
+
+    def spans(self, run: str) -> list[tuple[int, int, int]]:
+        """(start, end, kind) within a run: itself without dots around it, or those of its pieces that are accepted."""
+        a = len(run) - len(run.lstrip("."))
+        whole = run.strip(".")
+        if len(whole) >= _SHORTEST and (k := self.kind(whole)) is not None:
+            return [(a, a + len(whole), k)]
+        pieces = [(m.start(), m.end(), self.kind(m[0])) for m in _PIECE.finditer(run) if m[0] != whole]
+        return [(a, e, k) for a, e, k in pieces if k is not None]
+
+    def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Spans of a text that overlap no base span. Runs that gave none are remembered, as words repeat."""
+        fresh = set(_RUN.findall(text)) - self.rejected
+        if not fresh:
+            return []
+        if len(self.rejected) > 1 << 19:
+            self.rejected.clear()
+        found = {run: self.spans(run) for run in fresh}
+        self.rejected.update(run for run, own in found.items() if not own and len(run) <= 64)
+        if not any(found.values()):
+            return []
+        starts, reach = [b[0] for b in base], []  # reach: the furthest end of the base spans up to each
+        for b in base:
+            reach.append(max(b[1], reach[-1] if reach else 0))
+
+        def free(a: int, e: int) -> bool:
+            before = bisect_right(starts, e - 1)
+            return not before or reach[before - 1] <= a
+
+        return [(m.start() + a, m.start() + e, k) for m in _RUN.finditer(text) for a, e, k in found.get(m[0], ()) if free(m.start() + a, m.start() + e)]
 
 
 def value_hash(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"), 9) >> 1
 
 
-def fit(spark: SparkSession, docs: DataFrame, text: str = "text", cfg: SecretConfig = SecretConfig()) -> SecretModel:
-    keep = {k: cfg.sample for k in range(len(KINDS))} | {len(KINDS): cfg.others}
+#: Kinds of the rows that the fit gathers, beside the kinds of credentials: trigram counts, counts of labelled values and of runs.
+_TRIGRAM, _LABELLED, _RUNS = 10, 20, 30
+
+
+def _gather(cfg: SecretConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[dict[str, int]] = [{} for _ in KINDS]
+        labelled, runs, grams = [0] * len(KINDS), 0, np.zeros(_N**3, np.int64)
+
+        def least(k: int) -> list[tuple[int, str]]:  # a task hands on no more than the sample can use
+            return sorted((h, v) for v, h in own[k].items())[: cfg.sample]
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, dict[str, int]] = {k: {} for k in keep}
         for batch in batches:
+            rest = []
             for t in strings(batch.column(0)).to_pylist():
-                base = base_spans(t)
-                for b in base:
-                    v = credential(t, b)
-                    own[b[2]][v] = value_hash(v)
-                for a, e in tokens(t, base):
-                    own[len(KINDS)][t[a:e]] = value_hash(t[a:e])
-            for k, n in keep.items():  # each task hands on no more than the sample can use
-                if len(own[k]) > 2 * n:
-                    own[k] = dict(sorted(own[k].items(), key=lambda x: (x[1], x[0]))[:n])
-        rows = [(k, v, h) for k, n in keep.items() for v, h in sorted(own[k].items(), key=lambda x: (x[1], x[0]))[:n]]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "value", "hash"])
+                at, base = 0, base_spans(t)
+                for a, e, k in base:
+                    labelled[k] += 1
+                    v = credential(t, (a, e, k))
+                    if len(v) <= cfg.longest:
+                        own[k][v] = value_hash(v)
+                    if e > at:
+                        rest.append(t[at : max(at, a)])
+                        at = e
+                rest.append(t[at:])
+            more, n = run_counts("\n".join(rest))
+            grams, runs = grams + more, runs + n
+            for k in range(len(KINDS)):
+                if len(own[k]) > 2 * cfg.sample:
+                    own[k] = {v: h for h, v in least(k)}
+        rows = [(k, v, h, 1) for k in range(len(KINDS)) for h, v in least(k)] + [(_LABELLED + k, "", 0, n) for k, n in enumerate(labelled)] + [(_RUNS, "", 0, runs)]
+        rows += [(_TRIGRAM, "", int(i), int(grams[i])) for i in np.flatnonzero(grams)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["kind", "value", "key", "n"])
+
+    return run
 
+
+def fit(spark: SparkSession, docs: DataFrame, text: str = "text", cfg: SecretConfig = SecretConfig()) -> SecretModel:
+    """Automata of the labelled credentials of docs, and the model of all else. To the driver: the samples and at most 69**3 counts."""
     path = scratch(spark, "labelled")
-    docs.select(F.col(text).alias("text")).mapInArrow(label, "kind int, value string, hash long").write.parquet(path)
+    docs.select(F.col(text).alias("text")).mapInArrow(_gather(cfg), "kind int, value string, key long, n long").write.parquet(path)
     seen = spark.read.parquet(path)
-    words: dict[int, list[str]] = {k: [] for k in keep}
-    for k, n in keep.items():
-        words[k] = [r[0] for r in seen.where(F.col("kind") == k).groupBy("value", "hash").agg(F.count(F.lit(1))).orderBy("hash", "value").limit(n).select("value").collect()]
-    other = words.pop(len(KINDS))
-    ground = Automaton([symbols(w) for w in other[::2]], cfg.alpha)
-    kinds, limits = [], []
-    for k in range(len(KINDS)):
-        kinds.append(Automaton([symbols(w) for w in words[k][::2]], cfg.alpha) if len(words[k]) >= 20 else None)
-    model = SecretModel(kinds, ground, [math.inf] * len(KINDS))
-    for k in range(len(KINDS)):
-        if kinds[k] is not None:
-            good = sorted(model.score(w)[k] for w in words[k][1::2])
-            plain = sorted(model.score(w)[k] for w in other[1::2]) or [0.0]
-            limits.append(max(good[len(good) // 20], plain[math.ceil(len(plain) * (1 - cfg.unlabelled)) - 1] + cfg.margin, 0.0))
-        else:
-            limits.append(math.inf)
-    return SecretModel(kinds, ground, limits)
+    words = [[r[0] for r in seen.where(F.col("kind") == k).groupBy("key", "value").agg(F.count(F.lit(1))).orderBy("key", "value").limit(cfg.sample).select("value").collect()] for k in range(len(KINDS))]
+    sums = seen.where(F.col("kind") >= _TRIGRAM).groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    kind, key, n = (sums.column(c).to_numpy() for c in ("kind", "key", "n"))
+    grams = np.zeros(_N**3)
+    grams[key[kind == _TRIGRAM]] = n[kind == _TRIGRAM]
+    total = {k: int(n[kind == k].sum()) for k in (_RUNS, *(_LABELLED + k for k in range(len(KINDS))))}
+    drop_path(spark, path)
+    return build(words, Plain(grams, total[_RUNS]), total[_RUNS], [total[_LABELLED + k] for k in range(len(KINDS))], cfg)
+
+
+def build(words: list[list[str]], plain: Plain, runs: int, labelled: list[int], cfg: SecretConfig = SecretConfig()) -> SecretModel:
+    """One half of the values makes the automata, the other half and the counts their limits."""
+    model = SecretModel([Automaton(w[::2], cfg) if w else None for w in words], plain, [math.inf] * len(words))
+    for k, own in enumerate(words):
+        if own:
+            prior = math.log2(max(1, runs) / (labelled[k] * cfg.unlabelled))
+            held = sorted(model.score(w)[k] for w in own[1::2])
+            # Plain counts hold unlabelled credentials but no labelled ones, so these ratios are the larger ones.
+            least = cfg.typical * held[int(len(held) * cfg.usual)] if held else 0.0
+            model.limits[k] = max(prior + math.log2(cfg.odds), least, 0.0)
+    return model
 
 
 def scan(spark: SparkSession, docs: DataFrame, model: SecretModel, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -252,11 +455,10 @@ def scan(spark: SparkSession, docs: DataFrame, model: SecretModel, text: str = "
             digest, listed = [], []
             for t in strings(batch.column(1)).to_pylist():
                 base = base_spans(t)
-                added = [(a, e, k) for a, e in tokens(t, base) if (k := m.kind(t[a:e])) is not None]
                 for k in range(3):
                     counts[k].append(sum(b[2] == k for b in base))
                 digest.append(hashlib.sha256(written(base).encode()).hexdigest())
-                listed.append(written(sorted(base + added)))
+                listed.append(written(sorted(base + m.added(t, base))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest), pa.array(listed)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
