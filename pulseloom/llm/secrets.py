@@ -304,11 +304,11 @@ def run_counts(text: str) -> tuple[np.ndarray, int]:
 class Plain:
     """Trigrams of characters, interpolated with bigrams and single characters.
 
-    A context counts as far as a thousandth of all runs has it, so that a rare
+    A context counts as far as a thousandth of all runs (and 50) have it, so that a rare
     run, and one that a few thousand copies repeat, can't explain itself.
     """
 
-    share, least = 1e-3, 5.0
+    share, least = 1e-3, 50.0
 
     def __init__(self, counts: np.ndarray, runs: int):
         n, weight = counts.reshape(_N, _N, _N).astype(float), max(self.least, self.share * runs)

@@ -166,12 +166,13 @@ def test_unlabelled_credentials_of_learned_formats_are_added(spark):
 
 
 def test_small_tables_and_edges(spark):
-    rows = [(i, f"password={hashlib.sha1(str(i).encode()).hexdigest()[:18]} and then some ordinaryprose12 here", None) for i in range(40)]
-    rows += [(1000, f"bare {hashlib.sha1(b'bare').hexdigest()[:18]} value", None), (1001, "longordinaryprose12 words", None)]
-    rows += [(i + 2000, f"more ordinaryprose{i % 10} and wordswords{i} there", None) for i in range(50)]
+    rows = [(i, f"password={w} and then some ordinaryprose12 here", None) for i, w in enumerate(random_words(6, 40, HEX, 18))]
+    rows += [(1000, f"bare {random_words(7, 1, HEX, 18)[0]} value", None), (1001, "longordinaryprose12 words", None)]
+    rows += [(2000 + r.doc_id, r.text, None) for r in edge.sf_docs(spark).collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     out = {r.doc_id: r.spans for r in secrets.scan(spark, docs, secrets.fit(spark, docs)).collect()}
     assert out[1000] == "assign:5:23" and not out[1001]
+    assert all(out[i] == secrets.written(brute(t)) for i, t, _ in rows if i != 1000)
     docs = edge.docs(spark)
     assert secrets.scan(spark, docs, secrets.fit(spark, docs)).count() == len(edge.TEXTS)
     none = edge.empty_docs(spark)
