@@ -304,18 +304,19 @@ def run_counts(text: str) -> tuple[np.ndarray, int]:
 class Plain:
     """Trigrams of characters, interpolated with bigrams and single characters.
 
-    A context counts as far as a thousandth of all runs (and 50) have it, so that a rare
-    run, and one that a few thousand copies repeat, can't explain itself.
+    What a ten-thousandth of all runs (or three) or fewer have is discounted, so
+    that a rare run, or one that many copies repeat, can't explain itself.
     """
 
-    share, least = 1e-3, 50.0
+    rare, weight = 1e-4, 50.0
 
     def __init__(self, counts: np.ndarray, runs: int):
-        n, weight = counts.reshape(_N, _N, _N).astype(float), max(self.least, self.share * runs)
+        n, rare = counts.reshape(_N, _N, _N).astype(float), max(3.0, self.rare * runs)
         pair, one = n.sum(0), n.sum((0, 1))
+        n, pair = np.maximum(n - rare, 0), np.maximum(pair - rare, 0)
         single = (one + 1) / (one.sum() + _N)
-        double = (pair + weight * single) / (pair.sum(1, keepdims=True) + weight)
-        self.table = np.log2((n + weight * double) / (n.sum(2, keepdims=True) + weight)).astype(np.float32)
+        double = (pair + self.weight * single) / (pair.sum(1, keepdims=True) + self.weight)
+        self.table = np.log2((n + self.weight * double) / (n.sum(2, keepdims=True) + self.weight)).astype(np.float32)
 
     def bits(self, word: str) -> float:
         code = _CODE[np.frombuffer(f"  {word} ".encode(), np.uint8)]

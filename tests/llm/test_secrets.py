@@ -113,7 +113,7 @@ def test_trigrams_against_brute_force():
         want.update(zip(own, own[1:], own[2:], strict=False))
     n = len(secrets.ALPHABET) + 1
     assert runs == len(found) and {(i // n // n, i // n % n, i % n): int(counts[i]) for i in range(n**3) if counts[i]} == dict(want)
-    plain = secrets.Plain(counts.astype(float), runs)
+    plain = secrets.Plain(100.0 * counts, runs)
     assert plain.bits("longer") > plain.bits("0x9-Zq") + 8
 
 
