@@ -16,8 +16,8 @@ documents) is generalised into a probabilistic automaton over characters:
 The other side is a trigram model of characters whose counts are of all
 unlabelled runs of all documents. Every run of 6 or more characters of
 `[A-Za-z0-9+/_.=-]` in every text is scored by the log-likelihood ratio of each
-kind's automaton to that model; where the run itself isn't accepted, its pieces
-between `.`, `/` and `=` are scored alike. A kind's limit is the ratio at which
+kind's automaton to that model: first its pieces between `.`, `/` and `=`, and
+where none is accepted, the run itself. A kind's limit is the ratio at which
 a credential is `odds` times as probable as a plain run, given how many runs and
 labelled credentials the documents hold; it is never less than half of what
 nearly all labelled values of the sample's other half reach.
@@ -279,6 +279,7 @@ class Automaton:
 _N = len(ALPHABET) + 1
 _CODE = np.zeros(256, np.uint8)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, _N, dtype=np.uint8)
+_CODES = _CODE.tobytes()
 
 
 def run_counts(text: str) -> tuple[np.ndarray, int]:
@@ -301,8 +302,11 @@ def run_counts(text: str) -> tuple[np.ndarray, int]:
     return out, int((~short).sum())
 
 
+_GROUP = np.array([0, *(_CLASS[c] + 1 for c in ALPHABET)])
+
+
 class Plain:
-    """Trigrams of characters, interpolated with bigrams and single characters.
+    """Trigrams of characters, interpolated with bigrams, trigrams of character classes and single characters.
 
     What a ten-thousandth of all runs (or three) or fewer have is discounted, so
     that a rare run, or one that many copies repeat, can't explain itself.
@@ -311,16 +315,30 @@ class Plain:
     rare, weight = 1e-4, 50.0
 
     def __init__(self, counts: np.ndarray, runs: int):
-        n, rare = counts.reshape(_N, _N, _N).astype(float), max(3.0, self.rare * runs)
+        n, rare, w = counts.reshape(_N, _N, _N).astype(float), max(3.0, self.rare * runs), self.weight
         pair, one = n.sum(0), n.sum((0, 1))
-        n, pair = np.maximum(n - rare, 0), np.maximum(pair - rare, 0)
-        single = (one + 1) / (one.sum() + _N)
-        double = (pair + self.weight * single) / (pair.sum(1, keepdims=True) + self.weight)
-        self.table = np.log2((n + self.weight * double) / (n.sum(2, keepdims=True) + self.weight)).astype(np.float32)
+        groups = np.zeros((_END + 1,) * 3)
+        np.add.at(groups, (_GROUP[:, None, None], _GROUP[None, :, None], _GROUP[None, None, :]), n)
+        n, pair, of = np.maximum(n - rare, 0), np.maximum(pair - rare, 0), np.maximum(groups - rare, 0)
+        group = np.bincount(_GROUP, one, _END + 1)
+        of = (of + w * (group + 1) / (group.sum() + _END + 1)) / (of.sum(2, keepdims=True) + w)
+        within = (one + 1) / (group + np.bincount(_GROUP, minlength=_END + 1))[_GROUP]
+        base = of[_GROUP[:, None, None], _GROUP[None, :, None], _GROUP[None, None, :]] * within
+        base = (pair + w * base) / (pair.sum(1, keepdims=True) + w)
+        self.table = np.log2((n + w * base) / (n.sum(2, keepdims=True) + w)).astype(np.float32).ravel()
+        self._flat: list[float] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_flat": []}
 
     def bits(self, word: str) -> float:
-        code = _CODE[np.frombuffer(f"  {word} ".encode(), np.uint8)]
-        return float(self.table[code[:-2], code[1:-1], code[2:]].sum())
+        if not self._flat:
+            self._flat = self.table.tolist()
+        flat, x, y, out = self._flat, 0, 0, 0.0
+        for z in word.encode().translate(_CODES):
+            out += flat[(x * _N + y) * _N + z]
+            x, y = y, z
+        return out + flat[(x * _N + y) * _N]
 
 
 @dataclass
@@ -338,20 +356,21 @@ class SecretModel:
         ground = self.plain.bits(value)
         return [-math.inf if a is None else a.bits(value) - ground for a in self.kinds]
 
-    def kind(self, value: str) -> int | None:
-        """The kind whose limit is exceeded by most."""
-        over = [s - limit if s >= limit else -math.inf for s, limit in zip(self.score(value), self.limits, strict=True)]
-        k = max(range(len(over)), key=over.__getitem__)
-        return k if over[k] >= 0 else None
+    def best(self, value: str) -> tuple[float, int]:
+        """How far the best kind's ratio is above its limit, and the kind."""
+        ground = self.plain.bits(value)
+        if -ground < min(self.limits):  # no automaton has more than 0 bits
+            return -math.inf, 0
+        return max((-math.inf if a is None else a.bits(value) - ground - limit, k) for k, (a, limit) in enumerate(zip(self.kinds, self.limits, strict=True)))
 
     def spans(self, run: str) -> list[tuple[int, int, int]]:
-        """(start, end, kind) within a run: itself without dots around it, or those of its pieces that are accepted."""
+        """(start, end, kind) within a run: those of its pieces that are accepted, or else itself without dots around it."""
         a = len(run) - len(run.lstrip("."))
         whole = run.strip(".")
-        if len(whole) >= _SHORTEST and (k := self.kind(whole)) is not None:
-            return [(a, a + len(whole), k)]
-        pieces = [(m.start(), m.end(), self.kind(m[0])) for m in _PIECE.finditer(run) if m[0] != whole]
-        return [(a, e, k) for a, e, k in pieces if k is not None]
+        parts = [(*self.best(m[0]), m.start(), m.end()) for m in _PIECE.finditer(run)]
+        if all(over < 0 for over, *_ in parts):
+            parts = [(*self.best(whole), a, a + len(whole))] if len(whole) >= _SHORTEST else []
+        return [(a, e, k) for over, k, a, e in parts if over >= 0]
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans of a text that overlap no base span. Runs that gave none are remembered, as words repeat."""

@@ -121,17 +121,20 @@ def slow_added(model, text):
     """Spans of the method, one run after the other."""
     base = brute(text)
     out = []
+
+    def best(w):
+        return max((ratio - limit, k) for k, (ratio, limit) in enumerate(zip(model.score(w), model.limits, strict=True)) if limit < math.inf)
+
     for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
-        if len(m[0]) < 6:
-            continue
-        a = m.start() + len(m[0]) - len(m[0].lstrip("."))
         whole = m[0].strip(".")
-        parts = [(a, whole)]
-        if len(whole) < 6 or model.kind(whole) is None:
-            parts = [(m.start() + p.start(), p[0]) for p in re.finditer("[A-Za-z0-9+_-]+", m[0]) if len(p[0]) >= 6 and p[0] != whole]
+        if len(m[0]) < 6 or len(whole) < 6:
+            continue
+        parts = [(m.start() + p.start(), p[0]) for p in re.finditer("[A-Za-z0-9+_-]+", m[0]) if len(p[0]) >= 6]
+        if not any(best(w)[0] >= 0 for _, w in parts):
+            parts = [(m.start() + len(m[0]) - len(m[0].lstrip(".")), whole)]
         for at, w in parts:
-            k = model.kind(w)
-            if k is not None and not any(b[0] < at + len(w) and at < b[1] for b in base):
+            over, k = best(w)
+            if over >= 0 and not any(b[0] < at + len(w) and at < b[1] for b in base):
                 out.append((at, at + len(w), k))
     return out
 
