@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -45,12 +47,25 @@ def test_base_spans_match_the_plain_patterns(spark):
     texts = [t for _, t, _ in edge.TEXTS] + TRICKY + [r.text for r in edge.sf_docs(spark).collect()]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     none = pii.PiiModel(0.0, (), (float("inf"),) * 4)
-    out = pii.detect(docs, none).collect()
+    out = pii.detect(pii.with_spans(spark, docs), none).collect()
     assert len(out) == len(texts)
     for r in out:
         assert {k: [(c.s, c.e) for c in r[f"__base_{k}"]] for k in PLAIN} == brute(texts[r.doc_id]), texts[r.doc_id][:80]
 
 
+def test_matches_and_what_stands_beside_them(spark):
+    texts = ["", "ab12cd345", "12", "x" * 40 + "7y8z", "9" * 30 + "a" + "é1🙂2" * 500, "1a" * 1000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = pii.matches(df, "__m", {"d": F.col("text")}, {"d": ("[0-9]++", "[0-9]")}).collect()
+    for r in out:
+        found = list(re.finditer("[0-9]+", r.text))
+        assert [(c.s, c.e, c.v) for c in r["__m_d"]] == [(m.start(), m.end(), m[0]) for m in found]
+        ends = [0, *(m.end() for m in found), len(r.text)]
+        for i, (c, m) in enumerate(zip(r["__m_d"], found, strict=True)):
+            after = r.text[m.end() : found[i + 1].start() if i + 1 < len(found) else None]
+            assert c.b == r.text[ends[i] : m.start()][-12:] and c.a == after[:1]
+
+
 def test_query_digest(spark):
     got = {r.doc_id: r for r in pii.op9_boosted_pii(spark, edge.SF).collect()}
     for r in edge.sf_docs(spark).collect():
@@ -67,16 +82,25 @@ def test_boosting_learns_and_calibrates(spark):
     bias, trees = pii.fit_trees(cells, pii.PiiConfig())
     model = pii.PiiModel(bias, tuple(trees), (0.0,) * 4)
     assert min(model.value(c) for c, (y, _) in cells.items() if y > 50) > 1 > -2 > max(model.value(c) for c, (y, _) in cells.items() if y < 50)
-    assert pii.calibrated(model, cells, 0, pii.PiiConfig(precision=0.85)) > 0 and pii.calibrated(model, cells, 0, pii.PiiConfig()) == float("inf")
+    # 90 of 100 pass: all but 1 % of them genuine where chance is a tenth, too few where it is higher.
+    assert pii.calibrated(model, cells, 0, pii.PiiConfig()) > 0
+    low = {c: (0.6 * n, n) for c, (y, n) in cells.items()}
+    assert pii.calibrated(model, low, 3, pii.PiiConfig()) == float("inf")
     # The CASE expressions give what the trees give.
-    real = pii.fit(edge.sf_docs(spark))
-    docs = pii.with_spans(edge.docs(spark).select("text"))
+    docs = pii.with_spans(spark, edge.docs(spark).select("text"))
+    real = pii.fit(pii.with_spans(spark, edge.sf_docs(spark)))
     for i, k in enumerate(pii.KINDS):
         rows = docs.select(F.explode(f"__wide_{k}").alias("c")).select("c", real.column(i, F.col("c")).alias("v")).collect()
         for r in rows:
             assert abs(r.v - real.value((i, *(r.c[f] for f in pii.FEATURES)))) < 1e-9
 
 
+def test_precision_bound():
+    assert pii.precision(0, 0, 0.1, 1) > 0.8 > pii.precision(0, 0, 0.64, 1)
+    assert pii.precision(1000, 1000, 0.64, 1) > 0.98 and pii.precision(640, 1000, 0.64, 1) < 0.1
+    assert pii.precision(100, 1000, 0.1, 1) < 0.1 and pii.precision(30, 40, 0.1, 1) > 0.9
+
+
 def test_redaction_and_edges(spark):
     docs = edge.docs(spark)
     out = pii.pii_stage(spark, docs)
@@ -87,6 +111,38 @@ def test_redaction_and_edges(spark):
     assert pii.pii_stage(spark, edge.empty_docs(spark)).count() == 0
 
 
+def cut_out(text, spans):
+    """The text with sorted spans replaced, one after the other."""
+    out, at = [], 0
+    for s, e, tag in spans:
+        if s >= at:
+            out += [text[at:s], tag]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_replaced_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in (0, 1, 5, 40, 700):
+        for size in (0, 1, 30, 1000):
+            text = "".join(rng.choices("abé🙂 ", k=size))
+            spans = sorted({(s, min(size, s + rng.randrange(1, 30)), f"[{k}]") for k in range(n if size else 0) for s in [rng.randrange(size)]}, key=lambda x: (x[0], -x[1]))
+            rows.append((text, [x for x in spans if x[0] < x[1]]))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<s:int,e:int,tag:string>>")
+    for r in df.withColumn("out", pii.replaced(F.col("text"), F.col("spans"))).collect():
+        assert r.out == cut_out(r.text, [(x.s, x.e, x.tag) for x in r.spans])
+
+
+def test_a_text_with_a_hundred_thousand_spans(spark):
+    began = time.perf_counter()
+    text = " ".join(f"a{k}@b.org" for k in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.pii_stage(spark, docs).collect()}
+    assert out[1] == " ".join(["[EMAIL]"] * 100_000) and out[2] == "nothing"
+    assert time.perf_counter() - began < 120
+
+
 def test_formats_that_the_base_misses_are_found_at_any_frequency(spark):
     def card(k, sep):
         body = f"4{k:014d}"
@@ -101,9 +157,10 @@ def test_formats_that_the_base_misses_are_found_at_any_frequency(spark):
     for many in (1, 30, 600):
         texts = [make(k) for make in forms.values() for k in range(many)]
         texts += [f"mail a{k}@b.org, {card(k, '-')} and +49 30 1234{k:04d}" for k in range(300)]
-        wrong = [f"the card {card(k, '.')[:-1]}{(int(card(k, '.')[-1]) + 1) % 10} is new" for k in range(200)]
+        wrong = [f"the card {card(k, '.')[:-1]}{(int(card(k, '.')[-1]) + 1) % 10} is new" for k in range(many // 3)]
         out = {r.text: r.text2 for r in pii.pii_stage(spark, spark.createDataFrame([(t,) for t in texts + wrong], "text string").selectExpr("text")).select(F.col("text"), F.col("text").alias("text2")).collect()}
-        left = [t for t in out if any(x in t for x in ("555-", "[at]"))]
-        assert not left
+        left = [t for t in out if "[at]" in t]
+        # A number without a plus needs some evidence that its codes don't just pass by chance.
+        assert not left and (many == 1 or not any("555-" in t for t in out))
         cards = [t for t in out if t.startswith("the card ")]
-        assert "the card [CARD] is new" in cards and len(cards) == 201
+        assert "the card [CARD] is new" in cards and len(cards) == 1 + many // 3
