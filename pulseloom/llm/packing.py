@@ -1,20 +1,27 @@
-"""Lexical retrieval packing: each shard has a BM25 inverted index over its own
-documents; the neighbours that it returns for a seed document, best first and
-unused so far, fill the seed's window.
-
-A shard is what one task reads in a row: at most `shard_docs` documents or
-`shard_tokens` tokens. Shards are built where the text is read, so no text and
-no ids are shuffled, and a lost task is simply run again. Documents are laid out
-gaplessly in the order in which they were retrieved; the document that reaches
-over the end of a window is cut there, and its rest is the seed of the next one.
-Only the last window of a shard is padded.
+"""Lexical retrieval packing: a sharded BM25 inverted index returns the neighbours
+of a seed document, best first and unused so far, which fill the seed's window.
+
+1. Each text is tokenised once; its ids are written to the shared folder, with
+   the task's document frequencies. Document count, mean length and frequencies
+   are those of all documents; they are bounded by the vocabulary.
+2. Documents are routed so that lexical neighbours meet: a document's key is a
+   sequence of consistent samples of its terms by BM25 weight (the term with the
+   least -log(u) / weight, u a hash of the term), so that two documents have
+   the same first key with the probability that grows with their overlap. All
+   documents are sorted by their keys, and a shard is a run of this order of
+   `shard_docs` documents or `shard_tokens` tokens. A hot key is several shards.
+   Order and shards depend on the texts alone, not on files.
+3. A shard's index scores all of its documents by all terms of the seed. The
+   document that reaches over the end of a window is cut there, and its rest is
+   the seed of the next one. Only the last window of a shard is padded.
 
 Ids are those of the tokenizers library, computed from the same vocabulary's
 ranks (a test holds both against each other, over all code points too).
 
 Cases: null and empty texts are the end id alone; repeated rows and ids are
 separate documents; a text longer than a window fills several; ties in score go
-to the earlier row.
+to the earlier document of the order; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, table
+from .common import scratch, strings, table
 
 
 @dataclass(frozen=True)
@@ -43,7 +50,8 @@ class PackConfig:
     end_id: int = 1
     shard_docs: int = 4096
     shard_tokens: int = 4_000_000
-    query_terms: int = 24
+    keys: int = 4  # of a document's route
+    seed: int = 42
     k1: float = 1.2
     b: float = 0.75
 
@@ -60,6 +68,7 @@ class TextEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.size = self.tokenizer.get_vocab_size()
         self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
@@ -87,33 +96,77 @@ def encoder(cfg: PackConfig) -> TextEncoder:
     return _ENCODERS[key]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all documents: their number, mean length and, by term, -1 or the number of documents that have it."""
+
+    n: int
+    mean: float
+    frequency: np.ndarray
+
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.frequency + 0.5) / (self.frequency + 0.5))
+
+
+def postings(docs: list[np.ndarray], stats: Statistics, idf: np.ndarray, cfg: PackConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, BM25 weight) of documents, by term and document."""
+    n = max(1, len(docs))
+    lens = np.fromiter(map(len, docs), np.int64, len(docs))
+    terms = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
+    key, tf = np.unique(terms * n + np.repeat(np.arange(len(docs)), lens), return_counts=True)
+    term, doc = key // n, key % n
+    norm = cfg.k1 * (1 - cfg.b + cfg.b * lens / max(1.0, stats.mean))
+    return term, doc, idf[term] * tf * (cfg.k1 + 1) / (tf + norm[doc])
+
+
 class Bm25:
-    """Inverted index of a shard: postings by term, with their BM25 weights."""
+    """Inverted index of a shard. Terms that a sixteenth of the documents have are rows of a matrix, the others postings."""
 
-    def __init__(self, docs: list[np.ndarray], cfg: PackConfig):
+    def __init__(self, docs: list[np.ndarray], stats: Statistics, cfg: PackConfig, idf: np.ndarray | None = None):
         self.n = len(docs)
-        lens = np.fromiter(map(len, docs), np.int64, self.n)
-        terms = np.concatenate(docs).astype(np.int64) if self.n else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(self.n), lens)
-        key, tf = np.unique(terms * self.n + doc, return_counts=True)
-        self.term, self.doc = key // max(1, self.n), key % max(1, self.n)
-        names, self.start, df = np.unique(self.term, return_index=True, return_counts=True)
-        self.start = np.r_[self.start, len(key)]
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = cfg.k1 * (1 - cfg.b + cfg.b * lens / max(1.0, lens.mean() if self.n else 1.0))
+        term, self.doc, weight = postings(docs, stats, stats.idf() if idf is None else idf, cfg)
+        self.weight = weight.astype(np.float32)
+        names, start, df = np.unique(term, return_index=True, return_counts=True)
+        self.start = np.r_[start, len(term)]
         place = np.repeat(np.arange(len(names)), df)
-        self.weight = idf[place] * tf * (cfg.k1 + 1) / (tf + norm[self.doc])
-        # Query side: the terms of each document with the largest weights.
-        order = np.lexsort((place, -self.weight, self.doc))
-        begin = np.r_[0, np.cumsum(np.bincount(self.doc, minlength=self.n))]
-        self.query = [place[order[a : min(b, a + cfg.query_terms)]] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        wide = df >= max(16, self.n / 16)
+        self.row = np.where(wide, np.cumsum(wide) - 1, -1)
+        self.matrix = np.zeros((int(wide.sum()), self.n), np.float32)
+        own = wide[place]
+        self.matrix[self.row[place[own]], self.doc[own]] = self.weight[own]
+        order = np.argsort(self.doc, kind="stable")
+        self.place = place[order]  # the terms of each document
+        self.begin = np.r_[0, np.cumsum(np.bincount(self.doc, minlength=self.n))]
 
     def scores(self, seed: int) -> np.ndarray:
-        q = self.query[seed]
-        a, b = self.start[q], self.start[q + 1]
-        size = b - a
+        q = self.place[self.begin[seed] : self.begin[seed + 1]]
+        row = self.row[q]
+        a = self.start[q[row < 0]]
+        size = self.start[q[row < 0] + 1] - a
         at = np.arange(int(size.sum())) + np.repeat(a - (np.cumsum(size) - size), size)
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        return self.matrix[row[row >= 0]].sum(0) + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+
+
+def route_table(vocabulary: int, cfg: PackConfig) -> np.ndarray:
+    """-log(u) of each key and term."""
+    return np.random.default_rng(cfg.seed).exponential(size=(cfg.keys, vocabulary))
+
+
+def routes(docs: list[np.ndarray], stats: Statistics, idf: np.ndarray, draws: np.ndarray, cfg: PackConfig) -> np.ndarray:
+    """(documents, keys): the sampled terms of each document, -1 where it has none."""
+    term, doc, weight = postings(docs, stats, idf, cfg)
+    order = np.argsort(doc, kind="stable")
+    term, doc, weight = term[order], doc[order], np.maximum(weight[order], 1e-9)
+    out = np.full((len(docs), cfg.keys), -1, np.int64)
+    if not len(term):
+        return out
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    for k in range(cfg.keys):
+        wait = draws[k, term] / weight
+        least = np.minimum.reduceat(wait, first)
+        hit = np.flatnonzero(wait == np.repeat(least, np.diff(np.r_[first, len(doc)])))
+        out[doc[hit[::-1]], k] = term[hit[::-1]]  # the first of equals
+    return out
 
 
 def ranked(scores: np.ndarray, unused: np.ndarray, first: int = 64) -> Iterator[int]:
@@ -129,9 +182,9 @@ def ranked(scores: np.ndarray, unused: np.ndarray, first: int = 64) -> Iterator[
     yield from rest[np.lexsort((rest, -scores[rest]))].tolist()
 
 
-def retrieval_order(docs: list[np.ndarray], cfg: PackConfig) -> list[int]:
+def retrieval_order(docs: list[np.ndarray], stats: Statistics, cfg: PackConfig, idf: np.ndarray | None = None) -> list[int]:
     """The documents of a shard in the order in which windows take them."""
-    index = Bm25(docs, cfg)
+    index = Bm25(docs, stats, cfg, idf)
     unused = np.ones(len(docs), bool)
     order: list[int] = []
     fill = lowest = 0
@@ -161,13 +214,80 @@ def retrieval_order(docs: list[np.ndarray], cfg: PackConfig) -> list[int]:
     return order
 
 
+_TOKENS = "row long, tokens binary, term int, n long"
+
+
+def tokenised(docs: DataFrame, text: str, doc_id: str, cfg: PackConfig) -> tuple[DataFrame, Statistics]:
+    """(doc_id, row, tokens) of all documents, as a table in the shared folder, and their statistics."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(cfg)
+        row = first = TaskContext.get().partitionId() << 40
+        frequency = np.zeros(enc.size, np.int64)
+        total = 0
+        id_type = None
+        for batch in batches:
+            id_type = batch.column(0).type
+            held = [enc.encode(t) for t in strings(batch.column(1)).to_pylist()]
+            for ids in held:
+                frequency[np.unique(ids)] += 1
+                total += len(ids)
+            n = len(held)
+            tokens = pa.array([ids.astype("<u4", copy=False).tobytes() for ids in held], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + n)), tokens, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=["doc_id", "row", "tokens", "term", "n"])
+            row += n
+        if id_type is not None:
+            seen = np.flatnonzero(frequency)
+            term, count = np.r_[-2, -1, seen].astype(np.int32), np.r_[row - first, total, frequency[seen]]
+            m = len(term)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(term), pa.array(count)], names=["doc_id", "row", "tokens", "term", "n"])
+
+    path = scratch(spark, "tokens")
+    rows.mapInArrow(run, f"doc_id {kind.simpleString()}, {_TOKENS}").write.parquet(path)
+    table = spark.read.parquet(path)
+    sums = {r["term"]: r["n"] for r in table.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n = sums.pop(-2, 0)
+    mean = sums.pop(-1, 0) / max(1, n)
+    frequency = np.zeros(max(sums, default=0) + 1, np.int64)
+    frequency[list(sums)] = list(sums.values())
+    return table.where("tokens is not null").select("doc_id", "row", "tokens"), Statistics(n, mean, frequency)
+
+
+def token_lists(col: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u4") for x in col]
+
+
+def routed(tokens: DataFrame, stats: Statistics, cfg: PackConfig) -> DataFrame:
+    """tokens in the order of their routes, in partitions of about two shards."""
+    spark = tokens.sparkSession
+    shared = spark.sparkContext.broadcast(stats)  # an integer for each term of the vocabulary
+    keys = [f"k{i}" for i in range(cfg.keys)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, draws = shared.value.idf(), route_table(len(shared.value.frequency), cfg)
+        for batch in batches:
+            out = routes(token_lists(batch.column(2)), shared.value, idf, draws, cfg)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(out[:, i].astype(np.int32)) for i in range(cfg.keys))], names=[*batch.schema.names, *keys])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    keyed = tokens.mapInArrow(run, f"doc_id {kind}, row long, tokens binary, " + ", ".join(f"{k} int" for k in keys))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(stats.n * (stats.mean + 1) / cfg.shard_tokens / 2) + 1)
+    same = F.xxhash64("tokens")  # copies stay together, and the order doesn't depend on files
+    return keyed.repartitionByRange(parts, *keys, same, "row").sortWithinPartitions(*keys, same, "row").select("doc_id", "tokens")
+
+
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cfg: PackConfig = PackConfig(), ids: bool = False) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and with `ids` the ids themselves)."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    tokens, stats = tokenised(docs, text, doc_id, cfg)
+    rows = routed(tokens, stats, cfg)
+    shared = docs.sparkSession.sparkContext.broadcast(stats)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids
 
     def shard(names: list[pa.Array], docs: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
-        order = np.array(retrieval_order(docs, cfg), np.int64)
+        order = np.array(retrieval_order(docs, shared.value, cfg), np.int64)
         lens = np.array([len(docs[d]) + 1 for d in order], np.int64)
         ends = np.cumsum(lens)
         total, w = int(ends[-1]), cfg.window
@@ -191,21 +311,20 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cfg: PackC
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * ids]), first + -(-total // w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(cfg)
         # Numbers of sequences are unique over tasks, as each task has its own range.
         first = TaskContext.get().partitionId() << 40
         names: list[pa.Array] = []
         held: list[np.ndarray] = []
-        tokens = 0
+        size = 0
         for batch in batches:
-            for k, text in enumerate(strings(batch.column(1)).to_pylist()):
-                held.append(enc.encode(text))
+            for k, own in enumerate(token_lists(batch.column(1))):
+                held.append(own.copy())
                 names.append(batch.column(0).slice(k, 1))
-                tokens += len(held[-1]) + 1
-                if len(held) >= cfg.shard_docs or tokens >= cfg.shard_tokens:
+                size += len(own) + 1
+                if len(held) >= cfg.shard_docs or size >= cfg.shard_tokens:
                     out, first = shard(names, held, first)
                     yield out
-                    names, held, tokens = [], [], 0
+                    names, held, size = [], [], 0
         if held:
             yield shard(names, held, first)[0]
 
@@ -217,4 +336,5 @@ def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The pieces of all documents: each of their ids lies in exactly one."""
     return pack(docs)
