@@ -51,6 +51,7 @@ class PackConfig:
     shard_docs: int = 4096
     shard_tokens: int = 4_000_000
     keys: int = 4  # of a document's route
+    id_type: str = "<u2"  # of ids in intermediate tables; a vocabulary that doesn't fit is refused
     seed: int = 42
     k1: float = 1.2
     b: float = 0.75
@@ -112,31 +113,49 @@ def postings(docs: list[np.ndarray], stats: Statistics, idf: np.ndarray, cfg: Pa
     """(term, document, BM25 weight) of documents, by term and document."""
     n = max(1, len(docs))
     lens = np.fromiter(map(len, docs), np.int64, len(docs))
-    terms = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-    key, tf = np.unique(terms * n + np.repeat(np.arange(len(docs)), lens), return_counts=True)
-    term, doc = key // n, key % n
+    kind = np.int32 if len(idf) * n < 1 << 31 else np.int64  # the smaller sorts twice as fast
+    terms = np.concatenate(docs).astype(kind) if docs else np.zeros(0, kind)
+    key, tf = np.unique(terms * kind(n) + np.repeat(np.arange(len(docs), dtype=kind), lens), return_counts=True)
+    term, doc = np.divmod(key, kind(n))
     norm = cfg.k1 * (1 - cfg.b + cfg.b * lens / max(1.0, stats.mean))
     return term, doc, idf[term] * tf * (cfg.k1 + 1) / (tf + norm[doc])
 
 
 class Bm25:
-    """Inverted index of a shard. Terms that a sixteenth of the documents have are rows of a matrix, the others postings."""
+    """Inverted index of a shard. Terms that a sixteenth of the documents have are rows of a matrix, the others postings.
+
+    `drop` leaves used documents out of the index; scores are of `alive` ones.
+    """
 
     def __init__(self, docs: list[np.ndarray], stats: Statistics, cfg: PackConfig, idf: np.ndarray | None = None):
-        self.n = len(docs)
-        term, self.doc, weight = postings(docs, stats, stats.idf() if idf is None else idf, cfg)
-        self.weight = weight.astype(np.float32)
-        names, start, df = np.unique(term, return_index=True, return_counts=True)
-        self.start = np.r_[start, len(term)]
-        place = np.repeat(np.arange(len(names)), df)
-        wide = df >= max(16, self.n / 16)
+        n = len(docs)
+        self.alive = np.arange(n)
+        term, doc, weight = postings(docs, stats, stats.idf() if idf is None else idf, cfg)
+        weight = weight.astype(np.float32)
+        _, df = np.unique(term, return_counts=True)
+        place = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        wide = df >= max(16, n / 16)
         self.row = np.where(wide, np.cumsum(wide) - 1, -1)
-        self.matrix = np.zeros((int(wide.sum()), self.n), np.float32)
+        self.matrix = np.zeros((int(wide.sum()), n), np.float32)
         own = wide[place]
-        self.matrix[self.row[place[own]], self.doc[own]] = self.weight[own]
-        order = np.argsort(self.doc, kind="stable")
+        self.matrix[self.row[place[own]], doc[own]] = weight[own]
+        order = np.argsort(doc, kind="stable")
         self.place = place[order]  # the terms of each document
-        self.begin = np.r_[0, np.cumsum(np.bincount(self.doc, minlength=self.n))]
+        self.begin = np.r_[0, np.cumsum(np.bincount(doc, minlength=n))]
+        self.posting = (place[~own], doc[~own], weight[~own])
+        self._starts()
+
+    def _starts(self) -> None:
+        self.start = np.searchsorted(self.posting[0], np.arange(len(self.row) + 1))
+
+    def drop(self, unused: np.ndarray) -> None:
+        keep = unused[self.alive]
+        to = np.cumsum(keep) - 1
+        self.alive, self.matrix = self.alive[keep], np.ascontiguousarray(self.matrix[:, keep])
+        place, doc, weight = self.posting
+        own = keep[doc]
+        self.posting = (place[own], to[doc[own]], weight[own])
+        self._starts()
 
     def scores(self, seed: int) -> np.ndarray:
         q = self.place[self.begin[seed] : self.begin[seed + 1]]
@@ -144,7 +163,7 @@ class Bm25:
         a = self.start[q[row < 0]]
         size = self.start[q[row < 0] + 1] - a
         at = np.arange(int(size.sum())) + np.repeat(a - (np.cumsum(size) - size), size)
-        return self.matrix[row[row >= 0]].sum(0) + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        return self.matrix[row[row >= 0]].sum(0) + np.bincount(self.posting[1][at], weights=self.posting[2][at], minlength=len(self.alive))
 
 
 def route_table(vocabulary: int, cfg: PackConfig) -> np.ndarray:
@@ -203,8 +222,10 @@ def retrieval_order(docs: list[np.ndarray], stats: Statistics, cfg: PackConfig,
             take(seed)
         fill %= cfg.window
         if fill:
-            for d in ranked(index.scores(seed), unused):
-                take(d)
+            if unused.sum() < 0.8 * len(index.alive):
+                index.drop(unused)
+            for d in ranked(index.scores(seed), unused[index.alive]):
+                take(int(index.alive[d]))
                 if fill >= cfg.window:
                     break
             while fill < cfg.window and len(order) < len(docs):  # no neighbour is left: the next documents by row
@@ -226,17 +247,21 @@ def tokenised(docs: DataFrame, text: str, doc_id: str, cfg: PackConfig) -> tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(cfg)
         row = first = TaskContext.get().partitionId() << 40
-        frequency = np.zeros(enc.size, np.int64)
+        if enc.size - 1 > np.iinfo(cfg.id_type).max:
+            raise ValueError(f"ids of this vocabulary don't fit {cfg.id_type}")
+        frequency, last = np.zeros(enc.size, np.int64), np.zeros(enc.size, np.int64)
         total = 0
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
             held = [enc.encode(t) for t in strings(batch.column(1)).to_pylist()]
             for ids in held:
-                frequency[np.unique(ids)] += 1
+                at = np.arange(len(ids))
+                last[ids] = at  # one place of each term
+                frequency[ids[last[ids] == at]] += 1
                 total += len(ids)
             n = len(held)
-            tokens = pa.array([ids.astype("<u4", copy=False).tobytes() for ids in held], pa.binary())
+            tokens = pa.array([ids.astype(cfg.id_type).tobytes() for ids in held], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + n)), tokens, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=["doc_id", "row", "tokens", "term", "n"])
             row += n
         if id_type is not None:
@@ -256,8 +281,8 @@ def tokenised(docs: DataFrame, text: str, doc_id: str, cfg: PackConfig) -> tuple
     return table.where("tokens is not null").select("doc_id", "row", "tokens"), Statistics(n, mean, frequency)
 
 
-def token_lists(col: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), "<u4") for x in col]
+def token_lists(col: pa.Array, cfg: PackConfig) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), cfg.id_type) for x in col]
 
 
 def routed(tokens: DataFrame, stats: Statistics, cfg: PackConfig) -> DataFrame:
@@ -269,14 +294,17 @@ def routed(tokens: DataFrame, stats: Statistics, cfg: PackConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, draws = shared.value.idf(), route_table(len(shared.value.frequency), cfg)
         for batch in batches:
-            out = routes(token_lists(batch.column(2)), shared.value, idf, draws, cfg)
+            out = routes(token_lists(batch.column(2), cfg), shared.value, idf, draws, cfg)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(out[:, i].astype(np.int32)) for i in range(cfg.keys))], names=[*batch.schema.names, *keys])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    keyed = tokens.mapInArrow(run, f"doc_id {kind}, row long, tokens binary, " + ", ".join(f"{k} int" for k in keys))
+    path = scratch(spark, "routes")
+    # Written, as the limits of a range are sampled in a pass of its own; that reads the keys alone.
+    tokens.mapInArrow(run, f"doc_id {kind}, row long, tokens binary, " + ", ".join(f"{k} int" for k in keys)).withColumn("same", F.xxhash64("tokens")).write.parquet(path)
+    keyed = spark.read.parquet(path)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(stats.n * (stats.mean + 1) / cfg.shard_tokens / 2) + 1)
-    same = F.xxhash64("tokens")  # copies stay together, and the order doesn't depend on files
-    return keyed.repartitionByRange(parts, *keys, same, "row").sortWithinPartitions(*keys, same, "row").select("doc_id", "tokens")
+    order = [*keys, "same", "row"]  # copies stay together, and the order doesn't depend on files
+    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "tokens")
 
 
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cfg: PackConfig = PackConfig(), ids: bool = False) -> DataFrame:
@@ -300,7 +328,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cfg: PackC
             d = docs[order[p]]
             part = d[s : s + n]
             if s + n > len(d):
-                part = np.append(part, np.array([cfg.end_id], "<u4"))
+                part = np.append(part, np.array([cfg.end_id], part.dtype))
             crc.append(zlib.crc32(part.astype("<u4", copy=False).tobytes()))
             if ids:
                 flat.append(part.astype(np.int32))
@@ -317,7 +345,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cfg: PackC
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for k, own in enumerate(token_lists(batch.column(1))):
+            for k, own in enumerate(token_lists(batch.column(1), cfg)):
                 held.append(own.copy())
                 names.append(batch.column(0).slice(k, 1))
                 size += len(own) + 1

@@ -79,6 +79,11 @@ def test_bm25_scores_and_order():
     for q in range(0, 60, 7):
         assert np.allclose(index.scores(q), [sum(weight(stats, docs, t, d) for t in set(docs[q].tolist())) for d in range(60)], atol=1e-4)
     unused = np.random.default_rng(4).random(60) < 0.7
+    full = index.scores(9)
+    index.drop(unused)
+    assert index.alive.tolist() == np.flatnonzero(unused).tolist() and np.allclose(index.scores(9), full[unused], atol=1e-5)
+    unused = np.random.default_rng(5).random(60) < 0.7
+    index = packing.Bm25(docs, stats, cfg)
     s = np.round(index.scores(3))  # many ties
     assert list(packing.ranked(s, unused, 10)) == sorted((d for d in range(60) if unused[d] and s[d] > 0), key=lambda d: (-s[d], d))
     assert sorted(packing.retrieval_order(docs, stats, cfg)) == list(range(60))
