@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_SCRATCH: list[str] = []  # paths that this process has handed out
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -30,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "pulseloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -41,8 +44,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark)}/pulseloom/{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no earlier run has used; `release` deletes it."""
+    path = f"{shared_dir(spark)}/pulseloom/{what}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0, keep: str = "") -> None:
+    """Delete the scratch tables from number `since` on, but for those under `keep`. For callers that have written or read what rests on them."""
+    for path in _SCRATCH[since:]:
+        if not keep or not path.startswith(keep):
+            drop_path(spark, path)
+            _SCRATCH.remove(path)
+
+
+def scratch_count() -> int:
+    return len(_SCRATCH)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

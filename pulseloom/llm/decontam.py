@@ -232,13 +232,12 @@ def build_index(items: Iterator[tuple[str, str | None]], window: int = WINDOW, m
 def scan(col: pa.Array, indexes: list) -> tuple[list[int], list[int], list[list[str]]]:
     """Words, hit words and items with an occurring window, for each text of an Arrow column. indexes: give an Index when called."""
     n_words, n_hit, items = [], [], []
-    for _, raw, offsets in utf8_blocks(col):
-        text = Words.of(raw, offsets)
-        docs = len(offsets) - 1
-        mark = np.zeros(len(text.symbol) + 1, np.int64)
-        found: list[set[str]] = [set() for _ in range(docs)]
-        for load in indexes:
-            index = load()
+    texts = [(Words.of(raw, offsets), len(offsets) - 1) for _, raw, offsets in utf8_blocks(col)]
+    marks = [np.zeros(len(text.symbol) + 1, np.int64) for text, _ in texts]
+    hits: list[list[set[str]]] = [[set() for _ in range(docs)] for _, docs in texts]
+    for load in indexes:  # a block of windows is loaded once for all texts of a batch
+        index = load()
+        for (text, _), mark, found in zip(texts, marks, hits, strict=True):
             for t in index.tables:
                 first, window = t.search(text)
                 np.add.at(mark, first, 1)
@@ -246,6 +245,7 @@ def scan(col: pa.Array, indexes: list) -> tuple[list[int], list[int], list[list[
                 pairs = np.unique(np.stack([text.doc[first], window], axis=1), axis=0) if len(first) else np.zeros((0, 2), np.int64)
                 for d, w in pairs.tolist():
                     found[d].update(index.ids[k] for k in t.items[w])
+    for (text, docs), mark, found in zip(texts, marks, hits, strict=True):
         hit = np.cumsum(mark[:-1]) > 0
         n_words += np.bincount(text.doc, minlength=docs).tolist()
         n_hit += np.bincount(text.doc[hit], minlength=docs).tolist()
@@ -297,7 +297,7 @@ def op2_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Keep documents that are not contaminated."""
+    """Keep documents that are not contaminated; null and wordless texts are kept."""
     names = docs.columns
     return find_overlap(spark, docs, items).where(~contaminated()).select(*names)
 

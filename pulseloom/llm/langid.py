@@ -2,7 +2,8 @@
 
 Training counts every n-gram of every learnable document: each task adds its
 documents into one dense vector per language, so at most languages x buckets
-rows leave a task. The matrix of log probabilities (languages x buckets, a few
+rows leave a task; labels beyond the `max_langs` most frequent are not learned.
+The matrix of log probabilities (languages x buckets, a few
 MB) is broadcast; scoring is a sparse gather and a segmented sum in numpy.
 
 Cases: null text or a text without a letter gives `und` with score 0; an empty
@@ -33,7 +34,7 @@ class LangIdConfig:
     sizes: tuple[int, ...] = (2, 3)
     alpha: float = 0.5
     segment: int = 1 << 20  # characters hashed at once
-    max_langs: int = 1024  # a table with more labels than this has no language column; it is refused, not cut
+    max_langs: int = 1024  # documented bound: rows of the most frequent labels are learned from, ties by name
 
     @property
     def buckets(self) -> int:
@@ -150,8 +151,6 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", cfg: LangIdConf
             names, index = np.unique(np.array(labels, dtype=object).astype(str), return_inverse=True)
             for name in names.tolist():
                 if name not in sums:
-                    if len(sums) >= cfg.max_langs:
-                        raise ValueError(f"more than {cfg.max_langs} distinct labels in {lang!r}")
                     sums[name], seen[name] = np.zeros(cfg.buckets, np.int64), 0
                 seen[name] += labels.count(name)
             for bucket, row in features(lowered(batch.column(0)), cfg):
@@ -163,10 +162,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", cfg: LangIdConf
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[seen[name], total[at]].astype(np.int64))], names=["lang", "bucket", "n"])
 
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    often = [r[0] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.max_langs).select("lang").collect()]
+    rows = rows.where(F.col("lang").isin(often))
     counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counted.column("lang").to_pylist()))
-    if len(langs) > cfg.max_langs:
-        raise ValueError(f"more than {cfg.max_langs} distinct labels in {lang!r}")
     where = {name: k for k, name in enumerate(langs)}
     k = np.array([where[x] for x in counted.column("lang").to_pylist()], np.int64)
     bucket, n = counted.column("bucket").to_numpy(), counted.column("n").to_numpy()
@@ -179,7 +178,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", cfg: LangIdConf
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: LangModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with two more columns: the predicted language and its posterior probability."""
+    """docs with two more columns: the predicted language and its posterior probability. Columns of these names are replaced."""
+    docs = docs.drop(*(c for c in (pred, score) if c != text))
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

@@ -283,8 +283,9 @@ ORACLE = """
 with e as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
     where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
-    from e q, e c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
-r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+q as (select distinct vec_id, v from e where vec_id % 20 = 0),
+s as (select q.vec_id as query_id, q.v as v, c.vec_id as vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+    from q, e c where q.vec_id <> c.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id, v order by score desc, vec_id) as integer) as rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 20
 """

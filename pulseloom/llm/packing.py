@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, strings, table
+from .common import drop_path, scratch, strings, table
 
 
 @dataclass(frozen=True)
@@ -238,7 +238,7 @@ def retrieval_order(docs: list[np.ndarray], stats: Statistics, cfg: PackConfig,
 _TOKENS = "row long, tokens binary, term int, n long"
 
 
-def tokenised(docs: DataFrame, text: str, doc_id: str, cfg: PackConfig) -> tuple[DataFrame, Statistics]:
+def tokenised(docs: DataFrame, text: str, doc_id: str, cfg: PackConfig, path: str = "") -> tuple[DataFrame, Statistics]:
     """(doc_id, row, tokens) of all documents, as a table in the shared folder, and their statistics."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -270,7 +270,7 @@ def tokenised(docs: DataFrame, text: str, doc_id: str, cfg: PackConfig) -> tuple
             m = len(term)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(term), pa.array(count)], names=["doc_id", "row", "tokens", "term", "n"])
 
-    path = scratch(spark, "tokens")
+    path = path or scratch(spark, "tokens")
     rows.mapInArrow(run, f"doc_id {kind.simpleString()}, {_TOKENS}").write.parquet(path)
     table = spark.read.parquet(path)
     sums = {r["term"]: r["n"] for r in table.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}
@@ -309,9 +309,12 @@ def routed(tokens: DataFrame, stats: Statistics, cfg: PackConfig) -> DataFrame:
 
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cfg: PackConfig = PackConfig(), ids: bool = False) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and with `ids` the ids themselves)."""
-    tokens, stats = tokenised(docs, text, doc_id, cfg)
+    spark = docs.sparkSession
+    path = scratch(spark, "tokens")
+    tokens, stats = tokenised(docs, text, doc_id, cfg, path)
     rows = routed(tokens, stats, cfg)
-    shared = docs.sparkSession.sparkContext.broadcast(stats)
+    drop_path(spark, path)  # the routed table has them all
+    shared = spark.sparkContext.broadcast(stats)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids
 
     def shard(names: list[pa.Array], docs: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:

@@ -10,8 +10,9 @@ and the others become revisits that refer to it. What refers where returns to
 each file by its path, so that no payload is shuffled and no hot payload gathers
 in one task.
 
-Files are written by Spark's text writer (records are UTF-8 text, the record
-separator is the line separator), so any store that Spark can write to works.
+Files are written by Spark's text writer (the record separator is the line
+separator), so any store that Spark can write to works. It hands on the bytes of
+a text as they are, so payloads of any encoding, and binary ones, stay whole.
 
 Cases: null html is an empty payload, which is deduplicated like any other; a
 null url becomes `unknown:`, white space in urls is percent-encoded; a null
@@ -82,18 +83,20 @@ def write_arc(spark: SparkSession, pages: DataFrame, path: str, cfg: ArchiveConf
     files = max(1, -(-total // cfg.file_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, offset = TaskContext.get().partitionId(), 0
+        number, offset = TaskContext.get().partitionId(), 0  # offset: bytes of the file so far
         version, name = 1 + number % 2, f"part-{number:05d}.arc"
         head = True
         for batch in batches:
             out = [version_block(version, name)] if head else []
+            offset += sum(len(x.encode()) + 1 for x in out)
             head = False
             for page_id, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2)).to_pylist(), strict=True):
                 out.append(arc_record(version, name, offset, page_id, url, html))
-                offset += 1
+                offset += len(out[-1].encode()) + 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    dealt = rows.repartition(files, F.xxhash64("page_id", "url", F.octet_length("html")))
+    # By the place of a row, so that rows that agree in everything don't gather in one file.
+    dealt = rows.withColumn("at", F.monotonically_increasing_id()).repartition(files, F.xxhash64("at")).drop("at")
     dealt.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
@@ -234,6 +237,16 @@ def read_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, source.take(int(fields["Content-Length"]))
 
 
+def raw_text(records: list[bytes]) -> pa.RecordBatch:
+    """Bytes as a text column, unchecked: the text writer hands them on as they are, whatever their encoding."""
+    return pa.RecordBatch.from_arrays([pa.array(records, pa.binary()).view(pa.string())], names=["value"])
+
+
+def shown(field: str) -> str:
+    """A header field as text, whatever its bytes were."""
+    return field.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+
+
 def files_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
 
@@ -279,12 +292,12 @@ def convert(spark: SparkSession, arc: str, warc: str, cfg: ArchiveConfig = Archi
                 refers = {x["number"]: (short_name(x["path"]), x["at"], x["page_id"]) for x in batch.column(2)[k].as_py() or []}
                 out, size = [], 0
                 for r in read_arc(batch.column(1)[k].as_buffer()):
-                    out.append(warc_record(name, r, refers.get(r.number)).decode("utf-8", "replace"))
+                    out.append(warc_record(name, r, refers.get(r.number)))
                     size += len(r.block)
                     if size > 1 << 21:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                        yield raw_text(out)
                         out, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                yield raw_text(out)
 
     held.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc)
 
@@ -308,7 +321,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"the payload of {fields['WARC-Record-ID']} doesn't have its digest")
                     page, to = http.get(b"X-Page-Id"), fields.get("X-Refers-To-Page-Id")
                     size = len(payload) if kind == "response" else int(http[b"Content-Length"])
-                    out.append((None if page is None else int(page), size, digest, kind, None if to is None else int(to), fields["WARC-Record-ID"], fields["WARC-Target-URI"], fields["WARC-Date"]))
+                    out.append((None if page is None else int(page), size, digest, kind, None if to is None else int(to), fields["WARC-Record-ID"], shown(fields["WARC-Target-URI"]), fields["WARC-Date"]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 8, kinds, strict=True)], names=names)
 
     return files_of(spark, path).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, date string")

@@ -83,3 +83,14 @@ def test_sql_twin(spark):
         con.sql(f"create view {t} as select * from '{edge.SF}/{t}.parquet'")
     got = [tuple(r) for r in decontam.op2_wu_manber_decontamination(spark, edge.SF).collect()]
     assert sorted(con.sql(decontam.ORACLE).fetchall()) == sorted(got)
+
+
+def test_stage_on_awkward_rows(spark):
+    docs = edge.docs(spark)
+    items = spark.createDataFrame([(1, " ".join(edge.LONG.split()[:20])), (None, "naïve café"), (3, None), (4, "")], "item_id long, text string")
+    out = decontam.decontamination_stage(spark, docs, items)
+    assert out.columns == docs.columns
+    texts = [t for _, t, _ in edge.TEXTS]
+    hit = [bool(h) and 20 * h >= n for n, h, _ in (brute(t, [(r.item_id, r.text) for r in items.collect()]) for t in texts)]
+    assert sorted(str(r.text) for r in out.collect()) == sorted(str(t) for t, h in zip(texts, hit, strict=True) if not h)
+    assert sum(hit) == 2 and decontam.decontamination_stage(spark, edge.empty_docs(spark), items).count() == 0

@@ -57,15 +57,32 @@ def test_held_out_accuracy(spark):
 def test_edges(spark):
     docs = edge.docs(spark)
     model = langid.fit(langid.learnable(edge.sf_docs(spark)), cfg=CFG)
-    got = langid.predict(spark, docs.drop("score"), model)
+    got = langid.predict(spark, docs, model)
     rows = {(r.doc_id, r.text): r for r in got.collect()}
     assert got.count() == len(edge.TEXTS)
     for key in ((1, ""), (2, None), (3, "   \n\t "), (4, "12 34 !!"), (None, None)):
         assert (rows[key].lang_pred, rows[key].score) == ("und", 0.0)
     assert rows[(5, "one")].lang_pred in model.langs and rows[(8, edge.LONG)].lang_pred in model.langs
-    assert langid.predict(spark, edge.empty_docs(spark).drop("score"), model).count() == 0
+    assert langid.predict(spark, edge.empty_docs(spark), model).count() == 0
     nothing = langid.fit(edge.empty_docs(spark))
-    assert {r.lang_pred for r in langid.predict(spark, docs.drop("score"), nothing).collect()} == {"und"}
+    assert {r.lang_pred for r in langid.predict(spark, docs, nothing).collect()} == {"und"}
     kept = langid.language_stage(spark, docs)
     assert kept.columns == docs.columns and kept.where("text is null or text = ''").count() == 0
     assert langid.language_stage(spark, edge.empty_docs(spark)).count() == 0
+
+
+def test_labels_beyond_the_bound_are_not_learned(spark):
+    rows = [(k, f"some words of text {k % 3}", ("aa", "bb", f"dirt{k}")[k % 3]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs, cfg=langid.LangIdConfig(max_langs=2)).langs == ["aa", "bb"]
+    assert len(langid.fit(docs).langs) == 102
+
+
+def test_stage_keeps_what_has_a_language(spark):
+    docs = edge.docs(spark)
+    out = langid.language_stage(docs.sparkSession, docs)
+    assert out.columns == docs.columns
+    kept = {(r.doc_id, r.text) for r in out.collect()}
+    gone = {(r.doc_id, r.text) for r in docs.collect()} - kept
+    assert {(1, ""), (2, None), (3, "   \n\t "), (4, "12 34 !!"), (None, None)} <= gone
+    assert all(any(map(str.isalpha, t or "")) for _, t in kept)

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import duckdb
@@ -84,3 +85,32 @@ def test_pages_of_any_url(spark, tmp_path):
     rows = [(2 * k + c, u if not c else "http://copy/", f"page {k}") for k, u in enumerate(urls) for c in (0, 1)]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], PAGES)
     assert got(spark, pages, tmp_path) == brute(rows)
+
+
+def test_payloads_of_any_bytes_go_round(spark, tmp_path):
+    """Latin-1 pages and binary payloads keep their bytes, lengths and digests."""
+    payloads = [b"caf\xe9 na\xefve", bytes(range(256)) * 40, b"", b"\xff\xfe\r\n\r\nWARC/1.1\r\n", b"caf\xe9 na\xefve"]
+    out = warc.version_block(1, "old.arc").encode()
+    for k, body in enumerate(payloads):
+        block = b"HTTP/1.0 200 OK\r\nContent-Length: %d\r\nX-Page-Id: %d\r\n\r\n" % (len(body), k + 1) + body
+        out += b"\nhttp://x.example/\xe9%d 1.2.3.4 20010203040506 image/gif %d\n" % (k, len(block)) + block
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "old.arc.gz").write_bytes(gzip.compress(out + b"\n"))
+    warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    rows = sorted(warc.read_archives(spark, f"{tmp_path}/warc").collect(), key=lambda r: r.page_id)
+    assert [(r.payload_bytes, r.payload_digest) for r in rows] == [(len(b), base64.b32encode(hashlib.sha1(b).digest()).decode()) for b in payloads]
+    assert [r.refers_to for r in rows] == [None, None, None, None, 1] and rows[0].date == "2001-02-03T04:05:06Z"
+
+
+def test_offsets_are_places_in_the_file(spark, tmp_path):
+    pages = spark.createDataFrame([(*r, "x", 1) for r in ROWS], PAGES)
+    warc.write_arc(spark, pages, f"{tmp_path}/arc", warc.ArchiveConfig(file_bytes=1000))
+    seen = 0
+    for r in warc.files_of(spark, f"{tmp_path}/arc").collect():
+        raw = gzip.decompress(r.content)
+        for line in raw.split(b"\n"):
+            fields = line.split(b" ")
+            if len(fields) == 10 and fields[0].startswith(b"http") and fields[4] == b"200":
+                assert raw[int(fields[7]) :].startswith(line)
+                seen += 1
+    assert seen
