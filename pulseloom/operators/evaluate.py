@@ -21,20 +21,38 @@ def score_counts(pred: DataFrame, score: str, label: str = "label", keys: tuple[
     return pred.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
 
 
+def running(counts: DataFrame, sums: dict[str, Column], keys: tuple[str, ...] = (), descending: bool = False, ranges: int = 256) -> DataFrame:
+    """counts with each sum of `sums` over the rows before and up to each row, by s.
+
+    Scores are dealt to about `ranges` ranges by approximate quantiles, which are
+    taken once and fixed; each range sums its own rows, and the sums of the ranges
+    before it are added. So no task holds all distinct scores.
+    """
+    bounds = sorted(set(counts.select(F.col("s").cast("double").alias("s")).approxQuantile("s", [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
+    # A score's range is the number of bounds below it; missing scores come first, NaN last, as in Spark's order.
+    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("s").cast("double"))), F.lit(0)) if bounds else F.lit(0)
+    rows = counts.withColumns({"__b": place, **{f"__v_{c}": x for c, x in sums.items()}})
+    by = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    before = Window.partitionBy(*keys).orderBy(by("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    part = rows.groupBy(*keys, "__b").agg(*(F.sum(f"__v_{c}").alias(f"__v_{c}") for c in sums))
+    part = part.select(*keys, "__b", *(F.coalesce(F.sum(f"__v_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums))
+    inside = Window.partitionBy(*keys, "__b").orderBy(by("s")).rowsBetween(Window.unboundedPreceding, 0)
+    full = rows.join(part, [*keys, "__b"])
+    full = full.withColumns({c: F.sum(f"__v_{c}").over(inside) + F.col(f"__o_{c}") for c in sums})
+    return full.drop("__b", *(f"__v_{c}" for c in sums), *(f"__o_{c}" for c in sums))
+
+
 def roc_auc(pred: DataFrame, score: str, label: str = "label", keys: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve; tied scores count half."""
-    c = score_counts(pred, score, label, keys)
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("w", _d(F.col("pos")) * (_d(below) + _d(F.col("neg")) / 2))
+    c = running(score_counts(pred, score, label, keys), {"upto": F.col("neg")}, keys)
+    c = c.withColumn("w", _d(F.col("pos")) * (_d(F.col("upto")) - _d(F.col("neg")) / 2))
     total = _d(F.sum("pos")) * _d(F.sum("neg"))
     return c.groupBy(*keys).agg(F.when(total > 0, F.sum("w") / total).alias("roc_auc"))
 
 
 def average_precision(pred: DataFrame, score: str, label: str = "label", keys: tuple[str, ...] = ()) -> DataFrame:
     """Steps of recall times precision, from the highest score; ties are one step."""
-    c = score_counts(pred, score, label, keys)
-    down = Window.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("tp", F.sum("pos").over(down)).withColumn("n", F.sum(F.col("pos") + F.col("neg")).over(down))
+    c = running(score_counts(pred, score, label, keys), {"tp": F.col("pos"), "n": F.col("pos") + F.col("neg")}, keys, descending=True)
     return c.groupBy(*keys).agg(F.when(F.sum("pos") > 0, F.sum(_d(F.col("pos")) * _d(F.col("tp")) / _d(F.col("n"))) / _d(F.sum("pos"))).alias("average_precision"))
 
 
@@ -86,16 +104,14 @@ def averaged_threshold(pred: DataFrame, score: str, points: list[float], fold: s
 
 
 def pr_area(pred: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """Trapezoid area under precision over recall, with the start at recall 0 and precision 1."""
-    c = score_counts(pred, score, label)
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(F.lit(1))
-    c = c.select("s", F.sum("pos").over(down).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(down).alias("n"), F.sum("pos").over(whole).alias("p"))
-    c = c.select("s", divide(_d(F.col("tp")), _d(F.col("p"))).alias("r"), (_d(F.col("tp")) / _d(F.col("n"))).alias("q"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("s"))
-    r0, q0 = F.coalesce(F.lag("r").over(order), F.lit(0.0)), F.coalesce(F.lag("q").over(order), F.lit(1.0))
-    c = c.withColumn("a", (F.col("r") - r0) * (F.col("q") + q0) / 2)
-    return c.agg(F.sum("a").alias("pr_area"), F.count(F.lit(1)).alias("n_points"))
+    """Trapezoid area under precision over recall, with the start at recall 0 and precision 1; null without rows."""
+    c = running(score_counts(pred, score, label), {"tp": F.col("pos"), "n": F.col("pos") + F.col("neg")}, descending=True)
+    # The point before a row's follows from the row itself: its own counts are taken off.
+    pos, tp, n = _d(F.col("pos")), _d(F.col("tp")), _d(F.col("n"))
+    n0 = n - pos - _d(F.col("neg"))
+    area = pos * (tp / n + F.when(n0 > 0, (tp - pos) / n0).otherwise(1.0)) / 2
+    points = F.count(F.lit(1))
+    return c.agg(F.when(points > 0, divide(F.sum(area), F.sum(pos))).alias("pr_area"), points.alias("n_points"))
 
 
 def _near(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -174,6 +190,13 @@ def diverse_pick(scored: DataFrame, score: str, per_key: int = 2, total: int = 1
     return scored.withColumn("__r", rank).where(F.col("__r") <= per_key).drop("__r").orderBy(F.desc(score), key, order).limit(total)
 
 
+def quality_pick(metrics: DataFrame, score: str = "test_auc", size: str = "n_nodes", above: float = 0.7, least: int = 3000, most: int = 5000, per_key: int = 2, total: int = 10) -> DataFrame:
+    """The best windows for a closer look: a score over `above` and a size in least..most; quality weighs the score by 0.5, log10(size) / 4 by 0.3 and 1 - size / 2000 by 0.2."""
+    n = _d(F.col(size))
+    good = metrics.where((F.col(score) > above) & F.col(size).between(least, most))
+    return diverse_pick(good.withColumn("quality", F.round(F.col(score) * 0.5 + F.log10(n) / 4 * 0.3 + (1 - n / 2000) * 0.2, 9)), "quality", per_key, total)
+
+
 def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 11) -> DataFrame:
     """Rank correlation with average ranks for ties, in groups of at least `least` rows."""
 

@@ -45,16 +45,16 @@ def _sides(side: str) -> tuple[str, str]:
     return ("source", "target") if side == "A" else ("target", "source")
 
 
-def pairs(edges: DataFrame, side: str) -> DataFrame:
-    """Rows of u < v that share a neighbour, with both weights and first times.
+def pairs(edges: DataFrame, side: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of u < v that share a neighbour, with both weights and first times, and the columns `more` of both edges (_u, _v).
 
     A neighbour's pairs are quadratic in its degree, which the projection itself
     asks for. They aggregate map-side right after the join, whose hot neighbours
     adaptive execution splits.
     """
     own, shared = _sides(side)
-    left = edges.select(*KEYS, F.col(shared).alias("r"), F.col(own).alias("u"), F.col("weight").alias("wu"), F.col("first_exposure_epoch").alias("tu"))
-    right = edges.select(*KEYS, F.col(shared).alias("r"), F.col(own).alias("v"), F.col("weight").alias("wv"), F.col("first_exposure_epoch").alias("tv"))
+    left = edges.select(*KEYS, F.col(shared).alias("r"), F.col(own).alias("u"), F.col("weight").alias("wu"), F.col("first_exposure_epoch").alias("tu"), *(F.col(c).alias(f"{c}_u") for c in more))
+    right = edges.select(*KEYS, F.col(shared).alias("r"), F.col(own).alias("v"), F.col("weight").alias("wv"), F.col("first_exposure_epoch").alias("tv"), *(F.col(c).alias(f"{c}_v") for c in more))
     return left.join(right, [*KEYS, "r"]).where("u < v")
 
 
@@ -66,29 +66,24 @@ def count_projection(edges: DataFrame, side: str = "A", weighted: bool = False,
 
 
 def cosine_projection(edges: DataFrame, side: str = "A", weighted: bool = True, min_sim: float = 0.0) -> DataFrame:
-    """(source < target, sim): cosine of the neighbour vectors."""
+    """(source < target, sim): cosine of the neighbour vectors. Each edge carries its node's norm into the self-join, so none follows it."""
     own, _ = _sides(side)
     w = F.col("weight").cast("double") if weighted else F.lit(1.0)
     base = edges.withColumn("weight", w)
-    norm = base.groupBy(*KEYS, F.col(own).alias("id")).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight")) + 1e-12).alias("norm"))
-    dot = pairs(base, side).groupBy(*KEYS, "u", "v").agg(F.sum(F.col("wu") * F.col("wv")).alias("dot"))
-    nu, nv = norm.select(*KEYS, F.col("id").alias("u"), F.col("norm").alias("nu")), norm.select(*KEYS, F.col("id").alias("v"), F.col("norm").alias("nv"))
-    both = dot.join(nu, [*KEYS, "u"]).join(nv, [*KEYS, "v"])
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*KEYS, own)) + 1e-12)
+    both = pairs(base.withColumn("norm", norm), side, ("norm",)).groupBy(*KEYS, "u", "v").agg(F.sum(F.col("wu") * F.col("wv")).alias("dot"), F.first("norm_u").alias("nu"), F.first("norm_v").alias("nv"))
     sim = F.col("dot") / (F.col("nu") * F.col("nv") + 1e-12)
     return both.select(*KEYS, F.col("u").alias("source"), F.col("v").alias("target"), sim.alias("sim")).where(F.col("sim") >= min_sim)
 
 
-PROJECTIONS = {"count": count_projection, "cosine": cosine_projection}
-
-
 def top_k_edges(edges: DataFrame, weight: str = "weight", k: int = 50) -> DataFrame:
-    """Edges among the k heaviest of their source or of their target; ties by the pair."""
+    """Edges (one row a pair) among the k heaviest of their source or of their target; ties by the pair. Each role is ranked alone, so that its limit applies before the shuffle."""
 
-    def rank(end: str) -> Column:
-        return F.row_number().over(Window.partitionBy(*KEYS, end).orderBy(F.desc(weight), "source", "target"))
+    def best(end: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*KEYS, end).orderBy(F.desc(weight), "source", "target"))
+        return edges.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")
 
-    ranked = edges.withColumn("__s", rank("source")).withColumn("__t", rank("target"))
-    return ranked.where((F.col("__s") <= k) | (F.col("__t") <= k)).drop("__s", "__t")
+    return best("source").unionByName(best("target")).dropDuplicates([*KEYS, "source", "target"])
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:
@@ -157,16 +152,26 @@ def laplacian(edges: DataFrame) -> DataFrame:
 
 
 def absent_pairs(edges: DataFrame, per_graph: int, seed: int = 42) -> DataFrame:
-    """per_graph unlinked pairs of each graph, by a seeded hash: candidates pair each node with seeded others of its graph, so no product of all nodes is built."""
+    """per_graph unlinked pairs of each graph (all, if it has fewer), by a seeded hash.
+
+    Numbers in the order of all pairs of a graph's nodes are drawn, so pairs aren't
+    listed: as many as give over four times per_graph unlinked pairs on average, and
+    all numbers where that is more than there are, so dense graphs lose none.
+    """
+    linked = edges.select(*KEYS, F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).where("source <> target").distinct()
     nodes = node_degrees(edges).select(*KEYS, "id")
-    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.xxhash64(F.lit(seed), "id"), "id")) - 1
-    placed = nodes.withColumn("p", place).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS)))
-    tries = F.ceil(F.lit(4.0 * per_graph) / F.col("n")).cast("int")
-    shots = placed.withColumn("t", F.explode(F.sequence(F.lit(1), F.greatest(tries, F.lit(1)))))
-    shots = shots.withColumn("q", F.pmod(F.xxhash64(F.lit(seed), "id", "t"), F.col("n")).cast("int")).where("q <> p")
-    other = placed.select(*KEYS, F.col("id").alias("id2"), F.col("p").alias("q"))
-    drawn = shots.join(other, [*KEYS, "q"]).select(*KEYS, F.least("id", "id2").alias("source"), F.greatest("id", "id2").alias("target")).distinct()
-    free = drawn.join(edges.select(*KEYS, F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")), [*KEYS, "source", "target"], "left_anti")
+    placed = nodes.withColumn("p", F.row_number().over(Window.partitionBy(*KEYS).orderBy("id")) - 1)
+    size = placed.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).join(linked.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("e")), KEYS)
+    total = F.expr("n * (n - 1) div 2")
+    tries = F.ceil(F.lit(4.0 * per_graph + 16) * F.col("total") / F.greatest(F.col("total") - F.col("e"), F.lit(1)))
+    shots = size.withColumn("total", total).withColumn("tries", F.least(F.col("total"), tries).cast("long")).where("total > e")
+    shots = shots.withColumn("t", F.explode(F.expr("sequence(1L, tries)")))
+    number = F.when(F.col("tries") == F.col("total"), F.col("t") - 1).otherwise(F.pmod(F.xxhash64(F.lit(seed), "hashtag", "window_end", "t"), F.col("total")))
+    # Number c = j (j - 1) / 2 + i stands for places i < j.
+    shots = shots.select(*KEYS, number.alias("c")).distinct().withColumn("j", F.floor((F.sqrt(8.0 * F.col("c") + 1) + 1) / 2).cast("long"))
+    shots = shots.withColumn("j", F.expr("case when j * (j - 1) div 2 > c then j - 1 when (j + 1) * j div 2 <= c then j + 1 else j end")).withColumn("i", F.expr("c - j * (j - 1) div 2"))
+    low, high = placed.select(*KEYS, F.col("id").alias("source"), F.col("p").alias("i")), placed.select(*KEYS, F.col("id").alias("target"), F.col("p").alias("j"))
+    free = shots.join(low, [*KEYS, "i"]).join(high, [*KEYS, "j"]).select(*KEYS, "source", "target").join(linked, [*KEYS, "source", "target"], "left_anti")
     pick = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.xxhash64(F.lit(seed), "source", "target"), "source", "target"))
     return free.withColumn("__r", pick).where(F.col("__r") <= per_graph).drop("__r")
 

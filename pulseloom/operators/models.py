@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
-from .evaluate import average_precision, best_threshold, classification_report, roc_auc, threshold_curve
+from .evaluate import average_precision, averaged_threshold, classification_report, roc_auc
+from .splits import group_folds
 
 GRID = [round(0.10 + 0.01 * i, 2) for i in range(81)]
 
@@ -77,15 +78,25 @@ def prediction_types(pred: DataFrame) -> DataFrame:
     return pred.withColumn("prediction_type", F.when(y & p, "TP").when(~y & p, "FP").when(y, "FN").otherwise("TN"))
 
 
-def nested_cv(samples: DataFrame, folds: DataFrame, columns: list[str], name: str, outer: int = 5) -> DataFrame:
-    """One row for each outer fold: AUC, average precision and the report at the threshold that is best on the training folds."""
+def nested_cv(samples: DataFrame, folds: DataFrame, columns: list[str], name: str, outer: int = 5, inner: int = 3) -> DataFrame:
+    """One row for each outer fold (hashtag, bin, fold): AUC, average precision and the report at the mean of the inner folds' best thresholds.
+
+    The outer fold's training tags are dealt to `inner` folds within their bins.
+    Each is scored by a model fitted to the others, so no threshold is chosen on
+    rows that its model has seen; 0.5 where no inner fold has rows.
+    """
     both = samples.join(folds.select("hashtag", "fold"), "hashtag").persist()
     out = None
     for k in range(outer):
         train, test = both.where(F.col("fold") != k), both.where(F.col("fold") == k)
-        tuned = fit_predict(train, train, columns, name)
-        best = best_threshold(threshold_curve(tuned, "y_pred_proba", GRID)).first()
-        limit = best["threshold"] if best else 0.5
+        dealt = group_folds(folds.where(F.col("fold") != k).select("hashtag", "bin"), inner).select("hashtag", F.col("fold").alias("__inner"))
+        own = train.join(dealt, "hashtag")
+        scored = None
+        for i in range(inner):
+            part = fit_predict(own.where(F.col("__inner") != i), own.where(F.col("__inner") == i), columns, name).withColumn("fold", F.lit(i))
+            scored = part if scored is None else scored.unionByName(part)
+        limit = averaged_threshold(scored, "y_pred_proba", GRID).first()["threshold"]
+        limit = 0.5 if limit is None else limit
         pred = fit_predict(train, test, columns, name).withColumn("y_pred", (F.col("y_pred_proba") >= limit).cast("int"))
         row = roc_auc(pred, "y_pred_proba").crossJoin(average_precision(pred, "y_pred_proba")).crossJoin(classification_report(pred))
         row = row.select(F.lit(k).alias("fold"), F.lit(name).alias("model"), F.lit(limit).alias("threshold"), "roc_auc", "average_precision", "precision", "recall", "f1")

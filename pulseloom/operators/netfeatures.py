@@ -44,10 +44,14 @@ def degree_stats(edges: DataFrame, name: str) -> DataFrame:
     )
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """(u < v < w) of each graph. Edges point from the lower to the higher degree, so no node has many outgoing ones and no hub is squared."""
-    e = undirected(edges)
-    degree = node_degrees(e.select(*KEYS, F.col("u").alias("source"), F.col("v").alias("target")))
+def triangles(edges: DataFrame, simple: bool = False, degree: DataFrame | None = None) -> DataFrame:
+    """(u < v < w) of each graph. Edges point from the lower to the higher degree, so no node has many outgoing ones and no hub is squared.
+
+    `simple`: edges are one row a pair, source < target, as projections are; `degree`: their known degrees.
+    """
+    e = edges.select(*KEYS, F.col("source").alias("u"), F.col("target").alias("v")) if simple else undirected(edges)
+    if degree is None:
+        degree = node_degrees(e.select(*KEYS, F.col("u").alias("source"), F.col("v").alias("target")))
     du, dv = (degree.select(*KEYS, F.col("id").alias(x), F.struct("degree", "id").alias(f"d{x}")) for x in ("u", "v"))
     full = e.join(du, [*KEYS, "u"]).join(dv, [*KEYS, "v"])
     forward = F.col("du") < F.col("dv")
@@ -58,10 +62,11 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(*KEYS, three[0].alias("u"), three[1].alias("v"), three[2].alias("w"))
 
 
-def clustering(edges: DataFrame, name: str) -> DataFrame:
-    """Mean local clustering and transitivity of graphs with at least three nodes; always exact."""
+def clustering(edges: DataFrame, name: str, simple: bool = False) -> DataFrame:
+    """Mean local clustering and transitivity of graphs with at least three nodes; always exact. `simple` as in triangles."""
     degree = node_degrees(edges)
-    each = triangles(edges).select(*KEYS, F.explode(F.array("u", "v", "w")).alias("id")).groupBy(*KEYS, "id").agg(F.count(F.lit(1)).alias("t"))
+    found = triangles(edges, simple, degree if simple else None)
+    each = found.select(*KEYS, F.explode(F.array("u", "v", "w")).alias("id")).groupBy(*KEYS, "id").agg(F.count(F.lit(1)).alias("t"))
     local = degree.join(each, [*KEYS, "id"], "left").select(*KEYS, F.coalesce("t", F.lit(0)).cast("double").alias("t"), (F.col("degree") * (F.col("degree") - 1) / 2.0).alias("w"))
     return local.groupBy(*KEYS).agg(F.avg(divide(F.col("t"), F.col("w"))).alias(f"net_{name}_avg_clustering"), divide(F.sum("t"), F.sum("w")).alias(f"net_{name}_transitivity"), F.count(F.lit(1)).alias("n")).where("n >= 3").drop("n")
 
@@ -116,10 +121,10 @@ def component_summary(components: DataFrame, minimum: int = 10) -> DataFrame:
 
 
 def network_features(graphs: dict[str, DataFrame], labels: dict[str, DataFrame] | None = None) -> DataFrame:
-    """All families of several graphs side by side, with net_has_<graph> flags."""
+    """All families of several graphs side by side, with net_has_<graph> flags. Graphs but `bip` are projections: one row a pair."""
     out = None
     for name, edges in graphs.items():
-        own = basic_stats(edges, name).join(degree_stats(edges, name), KEYS).join(clustering(edges, name), KEYS, "left")
+        own = basic_stats(edges, name).join(degree_stats(edges, name), KEYS).join(clustering(edges, name, simple=name != "bip"), KEYS, "left")
         if labels and name in labels:
             own = own.join(community_features(edges, labels[name], name), KEYS, "left")
         own = network_deltas(own, name).withColumn(f"net_has_{name}", F.lit(1))

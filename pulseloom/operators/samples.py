@@ -11,11 +11,16 @@ KEYS = ["hashtag", "window_end"]
 PREFIXES = ("ts_", "net_", "emb_", "attr_", "gae_")
 
 
-def join_families(families: list[DataFrame], how: str = "inner") -> DataFrame:
-    """Feature tables side by side; of columns that several have, the first one's stay."""
-    out = families[0]
-    for other in families[1:]:
-        out = out.join(other.select(*KEYS, *(c for c in other.columns if c not in out.columns)), KEYS, how)
+def join_families(families: dict[str, DataFrame], enabled: tuple[str, ...] | None = None, how: str = "inner") -> DataFrame:
+    """The enabled feature tables side by side (all by default; the first is the base); a column that an earlier one has too gets its family's name as suffix."""
+    names = [n for n in families if enabled is None or n in enabled]
+    if not names:
+        raise ValueError("no feature family is enabled")
+    out = families[names[0]]
+    for name in names[1:]:
+        other = families[name]
+        cells = [F.col(c).alias(f"{c}_{name}" if c in out.columns else c) for c in other.columns if c not in KEYS]
+        out = out.join(other.select(*KEYS, *cells), KEYS, how)
     return out
 
 

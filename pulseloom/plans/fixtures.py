@@ -194,10 +194,11 @@ def with_views(sql: str) -> str:
 
     visit(sql)
     own = [f"{name} as ({SQL[name]})" for name in SQL if name in need]
-    more = re.match(r"\s*with\s+", sql)
+    more = re.match(r"\s*with\s+(recursive\s+)?", sql)
     if more:
         sql = ", " + sql[more.end() :] if own else sql
-    return ("with " + ", ".join(own) + " " + sql) if own else sql
+    head = "with recursive " if more and more.group(1) else "with "
+    return (head + ", ".join(own) + " " + sql) if own else sql
 
 
 def day(expr: str, name: str) -> str:

@@ -238,12 +238,22 @@ def normalised_laplacian(v):
     return graph.laplacian(v.projection)
 
 
-@query()
+#: Roots start at nodes that are smaller than all their neighbours and pass only through larger nodes.
+COMPONENTS = """with recursive nb as (select hashtag, e, u, v from pa union all select hashtag, e, v as u, u as v from pa),
+cc as (select hashtag, e, u as id, u as root from nb group by all having u < min(v)
+union select c.hashtag, c.e, n.v as id, c.root from cc c join nb n on n.hashtag = c.hashtag and n.e = c.e and n.u = c.id where c.root < n.v),
+cp as (select hashtag, e, id, min(root) as component from cc group by all)"""
+
+
+@query(f"{COMPONENTS} select hashtag, {WE}, id, component from cp")
 def connected_components(v):
     return kernels.connected_components(v.projection)
 
 
-@query()
+@query(f"""{COMPONENTS}, sz as (select hashtag, e, component, count(*) as s from cp group by all),
+rk as (select *, row_number() over (partition by hashtag, e order by s desc, component) as r, s * 1e0 / sum(s) over (partition by hashtag, e) as p, max(s) over (partition by hashtag, e) as top from sz)
+select hashtag, {WE}, count(*) as n_components, {', '.join(whole(f"coalesce(max(s) filter (where r = {k}), 0)", f"size_{k}") for k in range(1, 6))}, {num("-sum(p * ln(p + 1e-10))", "size_entropy")}, {num("1 - max(p)", "share_outside_lcc")}, {whole("sum(cast(s >= 10 and s < top as integer))", "n_mid")}
+from rk group by hashtag, e""")
 def component_summary(v):
     return netfeatures.component_summary(kernels.connected_components(v.projection))
 
@@ -253,7 +263,15 @@ def negative_edges(v):
     return graph.absent_pairs(v.projection, 5)
 
 
-@query()
+_RAW = ("followers", "followees", "posts", "audience", "first_exposure")
+
+
+@query(f"""with au as (select hashtag, e, a as id, count(*) as audience, min(t) as f from bip group by all),
+rw as (select d.hashtag, d.e, d.id, coalesce(x.followers, 0e0) as followers, coalesce(x.followees, 0e0) as followees, coalesce(x.posts, 0e0) as posts, cast(coalesce(au.audience, 0) as double) as audience,
+coalesce(greatest(0e0, least(1e0, (au.f - (epoch(d.e) - 7776000)) / 7776000e0)), 0e0) as first_exposure, case when x.id is null then 0e0 else 1e0 end as has_profile
+from deg d left join au using (hashtag, e, id) left join attrs x on x.id = d.id)
+select hashtag, {WE}, id, {', '.join(num(f"case when max({c}) over w > min({c}) over w then ({c} - min({c}) over w) / (max({c}) over w - min({c}) over w) else 0.5e0 end", c) for c in _RAW)}, has_profile
+from rw window w as (partition by hashtag, e)""")
 def attributed_projection_nodes(v):
     return graph.attributed_nodes(v.projection, v.bipartite, v.attrs)
 
@@ -292,7 +310,15 @@ _LONG = "case when max(n) >= 14 then {} end"
 ts("ts_level", "level_dispersion", _sl(_t("avg(v)", "mean_raw"), _t("stddev_pop(v)", "std_raw"), _t("quantile_cont(v, 0.5)", "median_raw"), _t(_DIV.format(a="stddev_pop(v)", b="avg(v)", c=0), "cv_raw"), _t("ln(1 + avg(v))", "mean_log"), _t("ln(1 + stddev_pop(v))", "std_log")))
 ts("ts_growth", "growth_acceleration", _sl(_t(_LONG.format(_DIV.format(a=f"({_at(24, 30)} - {_at(17, 23)})", b=_at(17, 23), c=0)), "growth_7_14"), _t(_LONG.format(_at(24, 30)), "mean_last7"), _t(_LONG.format(_at(17, 23)), "mean_prev7")))
 ts("ts_trend", "trend", _sl(_t("case when max(n) >= 2 then case when stddev_pop(v) > 0 then regr_slope(v, pos - 1) else 0 end end", "slope_30"), _t("case when max(n) >= 2 then case when stddev_pop(v) > 0 then regr_r2(v, pos - 1) else 0 end end", "trend_r2")))
-ts("ts_peak", "peak_detection", None)
+#: A peak starts where the value rises and ends before a lower one; its bases reach to the next greater value on either side.
+_PEAK = f"""with x as (select a.hashtag, a.e, a.pos, a.v, max(b.pos) filter (where b.pos < a.pos and b.v > a.v) as lg, min(b.pos) filter (where b.pos > a.pos and b.v > a.v) as rg, min(b.pos) filter (where b.pos > a.pos and b.v <> a.v) as nx
+from sl a join sl b on b.hashtag = a.hashtag and b.e = a.e where a.l1 < a.v group by all),
+y as (select x.hashtag, x.e, x.pos, x.v, min(b.v) filter (where b.pos < x.pos and b.pos > coalesce(x.lg, 0)) as lb, min(b.v) filter (where b.pos > x.pos and b.pos < coalesce(x.rg, 1000000)) as rb, max(b.v) filter (where b.pos = x.nx) as nv
+from x join sl b on b.hashtag = x.hashtag and b.e = x.e group by all),
+m as (select hashtag, e, avg(v) as mean, max(v) as top, max(n) as n, arg_min(pos, -v * 1000 + pos / 1e3) as peak_pos from sl group by all),
+c as (select y.hashtag, y.e, count(*) as k from y join m using (hashtag, e) where nv < v and v - greatest(lb, rb) >= mean * 0.5e0 group by all)
+select m.hashtag, {day("m.e", "window_end")}, {_t("case when mean <> 0 then top / mean else 1 end", "peak_ratio")}, coalesce(k, 0) as ts_mentions_n_peaks, {_t("peak_pos * 1e0 / n", "peak_position")}, {_t("top", "max_raw")} from m left join c on c.hashtag = m.hashtag and c.e = m.e"""
+ts("ts_peak", "peak_detection", _PEAK)
 ts("ts_percentiles", "percentiles", _sl(*(_t(f"quantile_cont(v, {q})", f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.9)), _t("quantile_cont(v, 0.75) - quantile_cont(v, 0.25)", "iqr")))
 ts("ts_recency", "recency", _sl(_t(_LONG.format(_DIV.format(a=_at(24, 30), b=_at(1, 7), c=1)), "recency_ratio"), _t(_LONG.format(_at(1, 7)), "mean_first7")))
 ts("ts_volatility", "volatility", _sl(_t("case when max(n) >= 2 then stddev_pop(v - l1) end", "volatility_diff"), _t("case when max(n) >= 2 then stddev_pop(v - l1) filter (where n < 7 or pos > n - 6) end", "volatility_diff_recent7")))
@@ -342,7 +368,7 @@ t as (select hashtag, e, id, count(*) as t from (select hashtag, e, unnest([u, v
 l as (select d.hashtag, d.e, coalesce(t.t, 0) as t, degree * (degree - 1) / 2e0 as w from deg d left join t using (hashtag, e, id))
 select hashtag, {WE}, {num("avg(case when w > 0 then t / w else 0 end)", "net_proj_a_avg_clustering")}, {num("case when sum(w) > 0 then sum(t) / sum(w) else 0 end", "net_proj_a_transitivity")} from l group by hashtag, e having count(*) >= 3""")
 def net_clustering(v):
-    return netfeatures.clustering(v.projection, "proj_a")
+    return netfeatures.clustering(v.projection, "proj_a", simple=True)
 
 
 @query(f"""with sz as (select hashtag, e, c, count(*) as s from clus group by all), sh as (select hashtag, e, s / sum(s) over (partition by hashtag, e) as p from sz),
@@ -365,7 +391,7 @@ def net_deltas(v):
 
 @query()
 def network_features(v):
-    graphs = {"bip": v.bipartite, "proj_a": v.projection}
+    graphs = {"bip": v.bipartite, "proj_a": v.projection, "proj_b": graph.count_projection(v.bipartite, "B")}
     return netfeatures.network_features(graphs, {"proj_a": v.clusters})
 
 
@@ -389,37 +415,37 @@ def _matched(*cells: str) -> str:
     )
 )
 def attr_level1(v):
-    return attrs.level1(attrs.influencers(v.nodes, v.attrs))
+    return attrs.level1(attrs.influencers(v.bipartite, v.attrs))
 
 
 @query(_matched(*(num(f"avg(case when followers >= {a} and followers < {b} then 1e0 else 0e0 end)", f"attr_share_{n}") for n, a, b in (("micro", "0", "1e4"), ("mid", "1e4", "1e5"), ("macro", "1e5", "1e6"), ("mega", "1e6", "1e300")))))
 def attr_level2(v):
-    return attrs.level2(attrs.influencers(v.nodes, v.attrs))
+    return attrs.level2(attrs.influencers(v.bipartite, v.attrs))
 
 
 @query(f"""with r as (select *, row_number() over (partition by hashtag, e order by followers desc, id) as r, sum(followers) over (partition by hashtag, e) as t from matched), s as (select *, case when t > 0 then followers / t else 0 end as p from r)
 select hashtag, {WE}, {num("sum(case when r <= 1 then p else 0 end)", "attr_top1_share")}, {num("sum(case when r <= 5 then p else 0 end)", "attr_top5_share")}, {num("sum(p * p)", "attr_herfindahl")} from s group by hashtag, e""")
 def attr_level3(v):
-    return attrs.level3(attrs.influencers(v.nodes, v.attrs))
+    return attrs.level3(attrs.influencers(v.bipartite, v.attrs))
 
 
 @query(f"""with c as (select hashtag, e, category, count(*) as n from matched group by all), p as (select *, n / sum(n) over (partition by hashtag, e) as p from c)
 select hashtag, {WE}, count(*) as attr_n_categories, {num("max(p)", "attr_top_category_share")}, {num("-sum(p * ln(p + 1e-10))", "attr_category_entropy")} from p group by hashtag, e""")
 def attr_level4(v):
-    return attrs.level4(attrs.influencers(v.nodes, v.attrs))
+    return attrs.level4(attrs.influencers(v.bipartite, v.attrs))
 
 
 @query(f"""with dg as (select hashtag, e, id, cast(count(*) as double) as degree from (select hashtag, e, u as id from pb union all select hashtag, e, v from pb) group by all), j as (select * from matched join dg using (hashtag, e, id))
 select hashtag, {WE}, {', '.join(num(f"case when count(*) >= 4 then covar_pop({c}, degree) / nullif(stddev_pop({c}) * stddev_pop(degree), 0) end", f"attr_corr_{c}_degree") for c in ("followers", "posts"))} from j group by hashtag, e""")
 def attr_level5(v):
-    return attrs.level5(attrs.influencers(v.nodes, v.attrs), graph.node_degrees(graph.count_projection(v.bipartite, "B")))
+    return attrs.level5(attrs.influencers(v.bipartite, v.attrs), graph.node_degrees(graph.count_projection(v.bipartite, "B")))
 
 
 @query(f"""with s as (select hashtag, e, avg(ln(followers + 1)) as a, max(ln(posts + 1)) as b from matched group by all),
 g as (select distinct n.hashtag, n.e, s.a, s.b from nodes n left join s on s.hashtag = n.hashtag and s.e = n.e), w as (select *, lag(e) over o as pe, lag(a) over o as xa, lag(b) over o as xb from g window o as (partition by hashtag order by e))
 select hashtag, {WE}, {num("case when e - pe = 30 then a - xa end", "attr_delta_log_followers_mean")}, {num("case when e - pe = 30 then b - xb end", "attr_delta_log_posts_max")} from w""")
 def attr_deltas(v):
-    x = attrs.attribute_features(v.nodes, v.attrs)
+    x = attrs.attribute_features(v.bipartite, v.attrs)
     return x.select("hashtag", "window_end", "attr_delta_log_followers_mean", "attr_delta_log_posts_max")
 
 
@@ -482,9 +508,21 @@ def gae_role_features(v):
     return embeddings.role_features(kernels.gae_embeddings(v.bipartite), v.nodes, v.bipartite)
 
 
+@query()
+def gae_interpretability(v):
+    weighted = graph.recency_weights(v.bipartite.withColumn("epoch", F.col("first_exposure_epoch")), mode="first")
+    return embeddings.interpretability(kernels.gae_embeddings(v.bipartite), v.bipartite, weighted, v.nodes)
+
+
+@query()
+def walk_embedding_features(v):
+    vectors = embeddings.walk_embeddings(embeddings.random_walks(v.projection))
+    return embeddings.walk_features(vectors, v.projection, kernels.connected_components(v.projection))
+
+
 @query()
 def spectral_features(v):
-    return kernels.spectral_features({"bip": v.bipartite, "proj_a": v.projection})
+    return kernels.spectral_features({"bip": v.bipartite, "proj_a": v.projection, "proj_b": graph.count_projection(v.bipartite, "B")})
 
 
 # Labels, samples, splits
@@ -527,6 +565,29 @@ def pelt_changepoints(v):
     return labels.change_points(shifted, "level")
 
 
+@query()
+def burst_chain(v):
+    """From the daily series to samples: change points, burst labels, each window's features with the next window's label."""
+    found = labels.burst_labels(v.means, labels.change_points(v.daily, "mentions"), "mentions", abs_jump=0.2, rel_jump=0.1)
+    own = tsfeatures.features(v.sliced, "mentions", "mentions", ("level_dispersion", "recency"))
+    return samples.next_label_samples(own, found, "label_mentions")
+
+
+@query(f"""select hashtag, {WE}, {num('ts_a', 'ts_a')}, {num('ts_b', 'ts_b')}, {num('net_c', 'net_c')}, {num('ts_b + 1', 'ts_b_network')} from samples where label = 1 or ts_a > 20""")
+def feature_families(v):
+    families = {
+        "timeseries": v.samples.select("hashtag", "window_end", "ts_a", "ts_b"),
+        "network": v.samples.where("label = 1 or ts_a > 20").select("hashtag", "window_end", "net_c", (F.col("ts_b") + 1).alias("ts_b")),
+        "embeddings": v.samples.select("hashtag", "window_end", F.col("ts_a").alias("emb_x")),
+    }
+    return samples.join_families(families, ("timeseries", "network"))
+
+
+@query("select cast(sum(cast(label = 1 and ts_a > 20 as integer)) as bigint) as n_both, cast(sum(cast(label = 1 and ts_a <= 20 as integer)) as bigint) as n_left, cast(sum(cast(label <> 1 and ts_a > 20 as integer)) as bigint) as n_right from samples")
+def family_presence(v):
+    return samples.presence(v.samples.where("label = 1"), v.samples.where("ts_a > 20"))
+
+
 @query(f"""with nx as (select f.hashtag, f.e, f.ts_a, f.ts_b, f.net_c, (select min(l.e) from pred l where l.hashtag = f.hashtag and l.e > f.e and l.score % 5 <> 0) as ne from samples f)
 select nx.hashtag, {day("nx.e", "window_end")}, {num("ts_a", "ts_a")}, {num("ts_b", "ts_b")}, {num("net_c", "net_c")}, {day("ne", "next_window_end")}, cast(ne - nx.e as bigint) as gap_days, cast(p.label as bigint) as label from nx join pred p on p.hashtag = nx.hashtag and p.e = ne where ne - nx.e = 30""")
 def samples_next_window(v):
@@ -738,6 +799,16 @@ def diverse_pick(v):
     return evaluate.diverse_pick(v.predictions.select("hashtag", "window_end", "label", "score"), "score")
 
 
+@query(f"""with m as (select hashtag, e, proba as auc, total as n from pred join (select hashtag, e, total from means) t using (hashtag, e)),
+q as (select *, round(auc * 0.5e0 + log10(n) / 4 * 0.3e0 + (1 - n / 2000e0) * 0.2e0, 9) as quality from m where auc > 0.7e0 and n between 10 and 5000),
+r as (select *, row_number() over (partition by hashtag order by quality desc, e) as r from q)
+select hashtag, {WE}, {num('auc', 'test_auc')}, {whole('n', 'n_nodes')}, {num('quality', 'quality')} from r where r <= 2 order by r.quality desc, hashtag, e limit 10""")
+def window_selection(v):
+    n = v.sliced.groupBy("hashtag", "window_end").agg(F.sum("mentions").alias("n_nodes"))
+    metrics = v.predictions.join(n, ["hashtag", "window_end"]).select("hashtag", "window_end", F.col("y_pred_proba").alias("test_auc"), "n_nodes")
+    return evaluate.quality_pick(metrics, least=10)
+
+
 @query(f"""with r as (select hashtag, rank() over (partition by hashtag order by score) + (count(*) over (partition by hashtag, score) - 1) / 2e0 as a, rank() over (partition by hashtag order by total) + (count(*) over (partition by hashtag, total) - 1) / 2e0 as b from (select hashtag, (total * 37) % 101 as score, total from means))
 select hashtag, count(*) as n, {num("covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)", "rho")} from r group by 1 having count(*) >= 11""")
 def spearman(v):
@@ -775,22 +846,25 @@ def second_component(v):
 
 @query()
 def random_walks(v):
-    return embeddings.random_walks(v.projection, walks=1, length=4).withColumn("nodes", F.array_join("nodes", " "))
+    return embeddings.random_walks(v.projection).withColumn("nodes", F.array_join("nodes", " "))
 
 
 @query()
 def gae_embeddings(v):
-    """One tag's windows: the kernel is quadratic in a graph's nodes."""
     return kernels.gae_embeddings(v.projection).withColumn("embedding", F.size("embedding"))
 
 
+_MAJORITY = f"""{RANKED}, b as (select avg(cast(label as double)) as base from samples join sp using (hashtag) where split = 'train')
+select hashtag, {WE}, cast(label as bigint) as label, {num("base", "y_pred_proba")}, cast(base >= 0.5e0 as bigint) as y_pred from samples join sp using (hashtag) cross join b where split <> 'train'"""
+
+
 def _fitted(name: str):
     def build(v):
         assigned = v.samples.join(splits.group_split(_binned(v)), "hashtag").persist()
         return models.fit_predict(assigned.where("split = 'train'"), assigned.where("split <> 'train'"), ["ts_a", "ts_b", "net_c"], name)
 
     build.__name__ = f"fit_{name}"
-    return query()(build)
+    return query(_MAJORITY if name == "majority" else None)(build)
 
 
 for _name in ("majority", "random", "logistic_regression", "decision_tree", "random_forest", "gradient_boosting"):

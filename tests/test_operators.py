@@ -133,8 +133,23 @@ def test_spectral_row_and_lanczos():
     keep = u != v
     u, v, w = u[keep], v[keep], np.ones(keep.sum())
     exact = np.linalg.eigvalsh(kernels._dense_laplacian(60, u, v, w))
-    values, _ = kernels.lanczos(60, u, v, w)
-    assert np.allclose(values[[0, 1, -1]], exact[[0, 1, -1]], atol=1e-6)
+    values, vectors = kernels.extremes(60, u, v, w, dense=0)
+    assert np.allclose(values, np.r_[exact[:7], exact[-3:]], atol=1e-6)
+    assert np.allclose(kernels._dense_laplacian(60, u, v, w) @ vectors, vectors * values, atol=1e-6)
+
+
+def test_spectral_row_is_the_same_above_the_dense_size():
+    rng = np.random.default_rng(1)
+    u, v = np.r_[np.arange(1599), rng.integers(0, 1600, 4000)], np.r_[np.arange(1, 1600), rng.integers(0, 1600, 4000)]
+    keep = u != v
+    u, v = u[keep], v[keep]
+    w = rng.random(len(u)) + 0.5
+    large, exact = kernels.spectral_row(1600, u, v, w), kernels.spectral_row(1600, u, v, w, dense=1600)
+    assert all(abs(large[c][0] - exact[c][0]) < 1e-5 for c in kernels.SPECTRAL)
+    # A star of stars has eigenvalues of high multiplicity.
+    u, v = np.r_[np.zeros(40, int), np.repeat(np.arange(1, 41), 40)], np.arange(1, 1641)
+    large, exact = kernels.spectral_row(1641, u, v, np.ones(1640)), kernels.spectral_row(1641, u, v, np.ones(1640), dense=1641)
+    assert all(abs(large[c][0] - exact[c][0]) < 1e-5 for c in kernels.SPECTRAL if not c.startswith("ipr"))
 
 
 def test_auto_encoder_separates_cliques():
@@ -143,6 +158,28 @@ def test_auto_encoder_separates_cliques():
     assert z.shape == (30, 8) and auc > 0.7
 
 
+def test_auto_encoder_has_no_size_limit():
+    u, v, w = ring(220, 10, [(10 * i, 10 * i + 10) for i in range(219)])
+    z, auc = kernels.gae(2200, u, v, w)
+    assert z.shape == (2200, 8) and np.isfinite(z).all() and auc > 0.9
+    # Cliques beyond the 256th node differ as well (nodes with equal neighbourhoods may not).
+    assert len(np.unique(z[305::10].round(9), axis=0)) == 190 and np.abs(z).max(1).min() > 1e-3
+    z, auc = kernels.gae(12, *ring(1, 12, []))  # a complete graph has no absent pair
+    assert z.shape == (12, 8) and auc == 0.5
+
+
+def test_weighted_clustering_equals_the_cube():
+    rng = np.random.default_rng(3)
+    u, v = np.triu_indices(25, 1)
+    keep = rng.random(len(u)) < 0.3
+    u, v, w = u[keep], v[keep], rng.random(keep.sum())
+    a = np.zeros((25, 25))
+    a[u, v] = a[v, u] = np.cbrt(w)
+    k = (a > 0).sum(1)
+    local, links = kernels.weighted_clustering(25, u, v, w)
+    assert (links == k).all() and np.allclose(local, np.where(k > 1, np.diag(a @ a @ a) / np.maximum(1, k * (k - 1)), 0))
+
+
 EDGES = "hashtag string, window_end date, source string, target string, weight double"
 
 
@@ -256,3 +293,104 @@ def test_scalars(spark):
     ms = spark.createDataFrame([(1_700_000_000_000,), (1_700_000_001_000,)], "e long")
     assert [r.e for r in scalars.to_seconds(ms, "e").collect()] == [1_700_000_000, 1_700_000_001]
     assert scalars.to_seconds(ms.select((F.col("e") / 1000).cast("long").alias("e")), "e").first().e == 1_700_000_000
+
+
+def test_curves_over_many_scores(spark):
+    """Distinct scores in several ranges, ties, missing scores; against sorted rows."""
+    rng = np.random.default_rng(5)
+    score = np.r_[rng.random(3000), np.repeat(0.25, 50), np.repeat(0.75, 50)]
+    label = (rng.random(len(score)) < score).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(score, label, strict=True)], "s double, label int")
+    order = np.argsort(-score, kind="stable")
+    y, x = label[order], score[order]
+    last = np.flatnonzero(np.r_[np.diff(x) != 0, True])
+    tp, n = np.cumsum(y)[last], last + 1
+    r, p = tp / tp[-1], tp / n
+    r0, p0 = np.r_[0, r[:-1]], np.r_[1, p[:-1]]
+    ap, area = ((r - r0) * p).sum(), ((r - r0) * (p + p0) / 2).sum()
+    less = (score[label == 1][:, None] > score[label == 0][None, :]) + 0.5 * (score[label == 1][:, None] == score[label == 0][None, :])
+    assert abs(evaluate.roc_auc(df, "s").first()[0] - less.mean()) < 1e-12
+    assert abs(evaluate.average_precision(df, "s").first()[0] - ap) < 1e-12
+    got = evaluate.pr_area(df, "s").first()
+    assert abs(got.pr_area - area) < 1e-12 and got.n_points == len(last)
+    assert evaluate.pr_area(df.where("false"), "s").first().pr_area is None
+
+
+def test_absent_pairs_of_dense_graphs(spark):
+    every = [(a, b) for a in "abcdefgh" for b in "abcdefgh" if a < b]
+    gone = {("a", "c"), ("b", "h"), ("d", "e")}
+    rows = [("t", day(0), a, b, 1.0) for a, b in every if (a, b) not in gone] + [("t", day(1), a, b, 1.0) for a, b in every]
+    rows += [("t", day(2), f"n{i}", f"n{i + 1}", 1.0) for i in range(60)]
+    got = graph.absent_pairs(spark.createDataFrame(rows, EDGES), 5).collect()
+    assert {(r.source, r.target) for r in got if r.window_end == day(0)} == gone
+    assert not [r for r in got if r.window_end == day(1)]
+    path = {(r.source, r.target) for r in got if r.window_end == day(2)}
+    assert len(path) == 5 and all(a < b and abs(int(a[1:]) - int(b[1:])) > 1 for a, b in path)
+
+
+def test_pooled_vectors(spark):
+    rng = np.random.default_rng(7)
+    z = rng.normal(size=(40, 4))
+    df = spark.createDataFrame([("t", day(0), f"n{i}", x.tolist()) for i, x in enumerate(z)], "hashtag string, window_end date, id string, embedding array<double>")
+    r = embeddings.pooled(df, ["hashtag", "window_end"], 4).first()
+    norms, cov = np.linalg.norm(z, axis=1), z.T @ z / 40
+    eigen, p = np.sort(np.linalg.eigvalsh(cov))[::-1], norms / norms.sum()
+    want = {"mean_norm": norms.mean(), "std_norm": norms.std(), "energy": (z**2).sum(), "norm_entropy": -(p * np.log(p)).sum(), "norm_p25": np.percentile(norms, 25), "pca1": eigen[0], "pca3": eigen[2],
+            "global_std": z.std(), "l2_mean": np.linalg.norm(z.mean(0)), "l2_std": np.linalg.norm(z.std(0)), "cov_frob": np.linalg.norm(cov), "mean_dim2": z[:, 2].mean(), "std_dim3": z[:, 3].std()}
+    q = eigen / eigen.sum()
+    want["effective_rank"] = np.exp(-(q * np.log(q)).sum())
+    assert all(abs(r[c] - x) < 1e-9 for c, x in want.items())
+    scores = np.array([[x.pc1, x.pc2, x.pc3] for x in embeddings.window_components(df).orderBy(F.expr("int(substring(id, 2))")).collect()])
+    assert np.allclose(np.abs(scores), np.abs((z - z.mean(0)) @ np.linalg.svd(z - z.mean(0))[2][:3].T))
+
+
+def test_walk_embeddings_by_graph(spark):
+    u, v, _ = ring(2, 8, [(0, 8)])
+    rows = [("t", day(d), f"n{a:02}", f"n{b:02}", 1.0) for d in (0, 1) for a, b in zip(u, v, strict=True)]
+    df = spark.createDataFrame(rows, EDGES)
+    vectors = embeddings.walk_embeddings(embeddings.random_walks(df))
+    got = {(r.window_end, r.id): r.embedding for r in vectors.collect()}
+    assert len(got) == 32 and all(len(x) == 16 and np.isfinite(x).all() for x in got.values())
+    again = {(r.window_end, r.id): r.embedding for r in embeddings.walk_embeddings(embeddings.random_walks(df.repartition(3))).collect()}
+    assert got == again
+    f = {r.window_end: r for r in embeddings.walk_features(vectors, df, kernels.connected_components(df)).collect()}[day(1)]
+    assert (f.emb_graph_n_nodes, f.emb_graph_n_components, f.emb_graph_n_edges) == (16, 1, 57) and abs(f.emb_mean_norm - f.emb_mean_global / np.log(16)) < 1e-12 and f.emb_delta_sv1 is not None
+
+
+def test_skip_gram_puts_neighbours_together():
+    rng = np.random.default_rng(0)
+    walks = [[int(x) for x in rng.integers(0, 10, 10) + side * 10] for side in (0, 1) for _ in range(800)]
+    z = embeddings.skip_gram(walks, 20)
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    near, far = z[:10] @ z[:10].T, z[:10] @ z[10:].T
+    assert near[~np.eye(10, dtype=bool)].mean() > far.mean() + 0.2
+
+
+def test_graph_sample(spark):
+    u, v, _ = ring(1, 12, [])
+    df = spark.createDataFrame([("t", day(0), f"n{a}", f"n{b}", 1.0) for a, b in zip(u, v, strict=True)], EDGES)
+    kept = graph.sampled_nodes(df, 5).collect()
+    assert len(kept) == 10 and len({x for r in kept for x in (r.source, r.target)}) == 5
+
+
+def test_nested_folds_choose_thresholds_on_unseen_rows(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"t{i:02}", day(d), int(x > 0.3), float(x), float(rng.normal())) for i in range(30) for d, x in enumerate(rng.normal(size=6))]
+    samples = spark.createDataFrame(rows, "hashtag string, window_end date, label int, ts_a double, ts_b double")
+    folds = splits.group_folds(spark.createDataFrame([(f"t{i:02}", i % 2) for i in range(30)], "hashtag string, bin int"), 3)
+    got = models.nested_cv(samples, folds, ["ts_a", "ts_b"], "logistic_regression", 3).collect()
+    assert sorted(r.fold for r in got) == [0, 1, 2] and all(0.1 <= r.threshold <= 0.9 and r.roc_auc > 0.95 for r in got)
+    assert all(r.threshold == 0.5 or round(r.threshold * 100 * 3) == pytest.approx(r.threshold * 100 * 3, abs=1e-6) for r in got)  # a mean of three grid points
+
+
+def test_interpretability(spark):
+    u, v, _ = ring(1, 4, [(3, 4 + i) for i in range(10)])
+    df = spark.createDataFrame([("t", day(0), f"n{a:02}", f"n{b:02}", 1.0) for a, b in zip(u, v, strict=True)], EDGES)
+    degree = np.bincount(np.r_[u, v])
+    # The first component is the degree itself; only ten nodes have a time.
+    vectors = spark.createDataFrame([("t", day(0), f"n{i:02}", [float(10 * d), 0.0]) for i, d in enumerate(degree)], "hashtag string, window_end date, id string, embedding array<double>")
+    nodes = spark.createDataFrame([("t", day(0), f"n{i:02}", 100 + i if i < 10 else 0) for i in range(14)], "hashtag string, window_end date, id string, ts long")
+    got = {(r.component, r.statistic): r for r in embeddings.interpretability(vectors, df, df.withColumn("w", F.lit(2.0)), nodes).collect()}
+    assert {s for _, s in got} == {"degree", "recency_degree"}
+    assert got[1, "degree"].n == 14 and got[1, "degree"].rho == pytest.approx(1) and got[1, "recency_degree"].rho == pytest.approx(1)
+    assert got[3, "degree"].rho is None
