@@ -394,3 +394,30 @@ def test_interpretability(spark):
     assert {s for _, s in got} == {"degree", "recency_degree"}
     assert got[1, "degree"].n == 14 and got[1, "degree"].rho == pytest.approx(1) and got[1, "recency_degree"].rho == pytest.approx(1)
     assert got[3, "degree"].rho is None
+
+
+def test_distance_agreement_takes_all_pairs(spark):
+    """More nodes than any sample of the measure; an id in two rows makes no pair with itself, a pair with a missing vector has no distance."""
+    rng = np.random.default_rng(13)
+    ids = [*range(620), 3, 7]
+    a = rng.normal(size=(len(ids), 5))
+    b = a + rng.normal(size=a.shape)
+    kind = "label int, id long, embedding array<float>"
+    rows = [[(1, i, None if i == gap else x.tolist()) for i, x in zip(ids[:620], z, strict=False)] for z, gap in ((a, 11), (b, 12))]
+    left = spark.createDataFrame([*rows[0], *((1, i, z.tolist()) for i, z in zip(ids[620:], a[620:], strict=True)), (2, 1, [1.0, 0.0])], kind)
+    right = spark.createDataFrame([*rows[1], (2, 1, [1.0, 0.0])], kind)
+    got = embeddings.distance_agreement(left.repartition(3), right, "id", ["label"]).collect()
+    b[620:] = b[[3, 7]]
+
+    def distances(z, gap):
+        z = (z.astype(np.float32).astype(float).T / np.linalg.norm(z.astype(np.float32).astype(float), axis=1)).T
+        d = 1 - z @ z.T
+        d[gap], d[:, gap] = np.nan, np.nan
+        return d
+
+    i, j = np.triu_indices(len(ids), 1)
+    differ = np.array(ids)[i] != np.array(ids)[j]
+    x, y = distances(a, 11)[i, j][differ], distances(b, 12)[i, j][differ]
+    full = ~np.isnan(x) & ~np.isnan(y)
+    want = np.cov(x[full], y[full], bias=True)[0, 1] / (np.nanstd(x) * np.nanstd(y))
+    assert [(r.label, r.n_pairs) for r in got] == [(1, differ.sum())] and abs(got[0].agreement - want) < 1e-9
