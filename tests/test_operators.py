@@ -152,6 +152,18 @@ def test_spectral_row_is_the_same_above_the_dense_size():
     assert all(abs(large[c][0] - exact[c][0]) < 1e-5 for c in kernels.SPECTRAL if not c.startswith("ipr"))
 
 
+def test_eigenvalues_solve_the_small_problem_rarely(monkeypatch):
+    """A basis of some 40 blocks: a dense solve at each of them costs more than the basis itself."""
+    at = np.arange(1640).reshape(40, 41)
+    u, v = np.r_[at[:, :-1].ravel(), at[:-1].ravel()], np.r_[at[:, 1:].ravel(), at[1:].ravel()]
+    w, solve, sizes = np.ones(len(u)), np.linalg.eigh, []
+    exact = np.linalg.eigvalsh(kernels._dense_laplacian(1640, u, v, w))
+    monkeypatch.setattr(np.linalg, "eigh", lambda x: sizes.append(len(x)) or solve(x))
+    values, _ = kernels.extremes(1640, u, v, w)
+    assert np.allclose(values, np.r_[exact[:7], exact[-3:]], atol=1e-6)
+    assert sizes[-1] >= 200 and len(sizes) < sizes[-1] // 10 * 0.7
+
+
 def test_auto_encoder_separates_cliques():
     u, v, w = ring(3, 10, [(0, 10)])
     z, auc = kernels.gae(30, u, v, w)
