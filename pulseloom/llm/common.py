@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -96,6 +97,22 @@ def utf8_blocks(col: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, np.n
         at = end
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker hands freed memory back; Spark keeps idle workers, whose memory adds up over a pipeline's stages."""
+
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if give_back:
+            give_back(0)
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], fields: list[T.StructField], needs: list[str] | None = None) -> DataFrame:
     """df with columns that `make` computes from each Arrow batch; every row and column passes through."""
     schema = T.StructType([*df.schema.fields, *fields])

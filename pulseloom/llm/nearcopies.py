@@ -1,19 +1,24 @@
-"""Near copies by the similarity of word shingles, for the pipeline.
+"""Near copies by SimHash in Gray order and the similarity of word shingles, for the pipeline.
 
 Two texts link when the Jaccard similarity of their sets of five-word shingles
-is 0.8 or more. A 64-bit SimHash cannot search for that: pairs at 0.8 differ by
-about 10 bits and up to 17, where ranges of bits and Gray order prune nothing.
-
-1. One pass in Arrow batches: each text becomes the hash of its shingle set and
-   one key for each of `bands` groups of `rows` min-hashes. Equal sets are one
-   from here on. A pair at 0.8 shares a key with probability 1 - 3e-5 at least.
-2. Each set that shares keys is compared with one leader of each key, the set
+is 0.8 or more. Fingerprints that the Gray-order index links propose the nearest
+of them. 64 bits cannot search for the others: pairs at 0.8 differ by about 10
+bits and up to 17, where ranges of bits and Gray order prune nothing; min-hashes
+propose those.
+
+1. One pass in Arrow batches: each text becomes the hash of its shingle set, the
+   set's SimHash fingerprint and one key for each of `bands` groups of `rows`
+   min-hashes. Equal sets are one from here on. A pair at 0.8 shares a key with
+   probability 1 - 3e-5 at least.
+2. Fingerprints are searched by the operator's Gray-order hierarchical index;
+   the component of linked fingerprints is one more key of their sets.
+3. Each set that shares keys is compared with one leader of each key, the set
    that shares keys with the most others, so that a crowd of copies costs as
    many comparisons as it has members. What is not yet in one component with the
    rest of its key is compared with all of the rest, block against block, by
    sketches of 2,048 one-bit min-hashes; a pair at 0.8 is lost there with
    probability 4e-6. Nothing is capped.
-3. Comparisons are exact, over the whole shingle sets of the candidates alone.
+4. Comparisons are exact, over the whole shingle sets of the candidates alone.
 
 Cases: null and wordless texts have the empty set and are copies of each other;
 texts of fewer than `words` words are one shingle; rows with a null id all stay;
@@ -31,8 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, utf8_blocks
-from .simhash import components, squeezed
+from .common import scratch, trimmed, utf8_blocks
+from .simhash import SimHashConfig, components, linked, majority, squeezed
 
 
 @dataclass(frozen=True)
@@ -44,6 +49,7 @@ class CopyConfig:
     seed: int = 42
     bits: int = 2048  # of a sketch
     block: int = 512  # sets that one side of a comparison holds
+    max_bits: int = 2  # in which fingerprints that link differ
 
 
 def shingle_sets(col: pa.Array, cfg: CopyConfig = CopyConfig()) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -87,12 +93,13 @@ def _sketches(cfg: CopyConfig):
             for row, sets in shingle_sets(batch.column(2), cfg):
                 full = [k for k, s in enumerate(sets) if len(s)]
                 keys = [None] * len(sets)
+                prints = np.fromiter((majority(s) if len(s) else 0 for s in sets), np.uint64, len(sets)).view(np.int64)
                 if full:
                     for k, own in zip(full, band_keys([sets[k] for k in full], cfg).view(np.int64), strict=True):
                         keys[k] = own
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), batch.column(1).slice(row, len(sets)), pa.array(set_ids(sets, cfg)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "set", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), batch.column(1).slice(row, len(sets)), pa.array(set_ids(sets, cfg)), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "set", "fp", "keys"])
 
-    return run
+    return trimmed(run)
 
 
 def _sets(cfg: CopyConfig):
@@ -101,7 +108,7 @@ def _sets(cfg: CopyConfig):
             for _, sets in shingle_sets(batch.column(0), cfg):
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(sets, cfg)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set", "hashes"])
 
-    return run
+    return trimmed(run)
 
 
 def _similar(cfg: CopyConfig):
@@ -114,7 +121,7 @@ def _similar(cfg: CopyConfig):
                 near[k] = both >= cfg.similarity * (len(x) + len(y) - both) - 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    return run
+    return trimmed(run)
 
 
 def _sketch(cfg: CopyConfig):
@@ -135,7 +142,7 @@ def _sketch(cfg: CopyConfig):
                 out.append(np.packbits((low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.uint8)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["set", "sketch"])
 
-    return run
+    return trimmed(run)
 
 
 def _close(cfg: CopyConfig):
@@ -190,9 +197,13 @@ def copy_groups(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id
 
     id_type = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text"))
-    marked = kept(rows.mapInArrow(_sketches(cfg), f"doc_id {id_type}, text_key long, set long, keys array<long>"), "sketches")
-    own = marked.where("keys is not null").select("set", "text_key", "keys").groupBy("set").agg(F.min(F.struct("text_key", "keys")).alias("one"))
-    dealt = own.select("set", F.posexplode("one.keys").alias("band", "key"))
+    marked = kept(rows.mapInArrow(_sketches(cfg), f"doc_id {id_type}, text_key long, set long, fp long, keys array<long>"), "sketches")
+    own = marked.where("keys is not null").select("set", "text_key", "fp", "keys").groupBy("set").agg(F.min(F.struct("text_key", "fp", "keys")).alias("one"))
+    # The Gray-order index links fingerprints; sets whose fingerprints are one or linked meet under band -1.
+    prints = kept(own.select("set", F.col("one.fp").alias("fp")), "fingerprints")
+    near = linked(spark, prints.select("fp").distinct(), "near-copies-gray", SimHashConfig(words=cfg.words, max_bits=cfg.max_bits, seed=cfg.seed))
+    gray = prints.join(near, F.col("fp") == F.col("node"), "left").select("set", F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("key"))
+    dealt = own.select("set", F.posexplode("one.keys").alias("band", "key")).unionByName(gray)
     crowd = dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("low")).where("n > 1").select("band", "key", "n")
     shared = kept(dealt.join(crowd, ["band", "key"]), "shared")
     weight = shared.groupBy("set").agg(F.sum("n").alias("weight"))

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, scratch, strings, table
+from .common import drop_path, scratch, strings, table, trimmed
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,7 @@ class PackConfig:
     shard_docs: int = 4096
     shard_tokens: int = 4_000_000
     keys: int = 4  # of a document's route
+    piece: int = 1024  # rows that are tokenised at a time
     id_type: str = "<u2"  # of ids in intermediate tables; a vocabulary that doesn't fit is refused
     seed: int = 42
     k1: float = 1.2
@@ -252,7 +253,8 @@ def tokenised(docs: DataFrame, text: str, doc_id: str, cfg: PackConfig, path: st
         frequency, last = np.zeros(enc.size, np.int64), np.zeros(enc.size, np.int64)
         total = 0
         id_type = None
-        for batch in batches:
+        # A batch in pieces: its texts, as Python strings, take several times the memory of their ids.
+        for batch in (whole.slice(k, cfg.piece) for whole in batches for k in range(0, whole.num_rows, cfg.piece)):
             id_type = batch.column(0).type
             held = [enc.encode(t) for t in strings(batch.column(1)).to_pylist()]
             for ids in held:
@@ -271,7 +273,7 @@ def tokenised(docs: DataFrame, text: str, doc_id: str, cfg: PackConfig, path: st
             yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(term), pa.array(count)], names=["doc_id", "row", "tokens", "term", "n"])
 
     path = path or scratch(spark, "tokens")
-    rows.mapInArrow(run, f"doc_id {kind.simpleString()}, {_TOKENS}").write.parquet(path)
+    rows.mapInArrow(trimmed(run), f"doc_id {kind.simpleString()}, {_TOKENS}").write.parquet(path)
     table = spark.read.parquet(path)
     sums = {r["term"]: r["n"] for r in table.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n = sums.pop(-2, 0)
@@ -300,7 +302,7 @@ def routed(tokens: DataFrame, stats: Statistics, cfg: PackConfig) -> DataFrame:
     kind = tokens.schema["doc_id"].dataType.simpleString()
     path = scratch(spark, "routes")
     # Written, as the limits of a range are sampled in a pass of its own; that reads the keys alone.
-    tokens.mapInArrow(run, f"doc_id {kind}, row long, tokens binary, " + ", ".join(f"{k} int" for k in keys)).withColumn("same", F.xxhash64("tokens")).write.parquet(path)
+    tokens.mapInArrow(trimmed(run), f"doc_id {kind}, row long, tokens binary, " + ", ".join(f"{k} int" for k in keys)).withColumn("same", F.xxhash64("tokens")).write.parquet(path)
     keyed = spark.read.parquet(path)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(stats.n * (stats.mean + 1) / cfg.shard_tokens / 2) + 1)
     order = [*keys, "same", "row"]  # copies stay together, and the order doesn't depend on files
@@ -359,7 +361,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cfg: PackC
         if held:
             yield shard(names, held, first)[0]
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,15 @@ def squeezed(raw: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, n
     return out.tobytes(), at, at + lens, per
 
 
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for c in range(0, len(h), 1 << 16):
+        part = h[c : c + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * ones > len(h)).astype(np.uint8)).view(">u8")[0]
+
+
 def fingerprints(col: pa.Array, cfg: SimHashConfig = SimHashConfig()) -> np.ndarray:
     """A 64-bit fingerprint of each text."""
     result = np.zeros(len(col), np.uint64)
@@ -83,12 +92,7 @@ def fingerprints(col: pa.Array, cfg: SimHashConfig = SimHashConfig()) -> np.ndar
             m = min(cfg.words, b - a)
             froms, tos = start[a : b - m + 1].tolist(), end[a + m - 1 : b].tolist()
             h = np.fromiter((digest(data[i:j], seed) for i, j in zip(froms, tos, strict=True)), np.uint64, len(froms))
-            ones = np.zeros(64, np.int64)
-            for c in range(0, len(h), 1 << 16):
-                part = h[c : c + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
-                ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-            bits = (2 * ones > len(h)).astype(np.uint8)
-            result[row + k] = np.packbits(bits).view(">u8")[0]
+            result[row + k] = majority(h)
     return result
 
 
@@ -250,6 +254,14 @@ def components(spark: SparkSession, edges: DataFrame, what: str) -> DataFrame:
         step += 1
 
 
+def linked(spark: SparkSession, fps: DataFrame, what: str, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
+    """(node, root): the component of each of the distinct fingerprints fps (fp) that links to another, by the Gray-order index."""
+    dealt = deal_fingerprints(fps, cfg)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), fps.count() * (cfg.max_bits + 1) // cfg.rows_per_task)
+    links = dealt.repartition(tasks, "equal", "key").select("fp", "equal").mapInArrow(_local_links(cfg), "a long, b long")
+    return components(spark, links, what)
+
+
 def grouped(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
     """(doc_id, fp long, component_id, root long): one row for each row of docs; root is a fingerprint that only one component has."""
     base = scratch(spark, "simhash")
@@ -263,10 +275,7 @@ def grouped(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: st
     own = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     own.write.parquet(f"{base}/own")
     own = spark.read.parquet(f"{base}/own")
-    dealt = deal_fingerprints(own.select("fp"), cfg)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.count() * (cfg.max_bits + 1) // cfg.rows_per_task)
-    links = dealt.repartition(tasks, "equal", "key").select("fp", "equal").mapInArrow(_local_links(cfg), "a long, b long")
-    roots = components(spark, links, "simhash-links")
+    roots = linked(spark, own.select("fp"), "simhash-links", cfg)
     grouped = own.join(roots, own["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = grouped.where("root <> fp").groupBy("root").agg(F.min("least").alias("low"))
     # Only groups of several fingerprints differ from the smallest id of their own fingerprint.

@@ -2,8 +2,10 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
+import xxhash
 
-from pulseloom.llm import nearcopies
+from pulseloom.llm import nearcopies, simhash
 
 from . import edge
 
@@ -85,3 +87,17 @@ def test_rows_of_one_id_and_edges(spark):
     assert kept(spark, [(5, None), (6, "  "), (None, ""), (7, "one two"), (8, "ONE  two")]) == sorted([(5, None), (None, ""), (7, "one two")], key=str)
     assert nearcopies.near_copy_stage(spark, edge.empty_docs(spark)).count() == 0
     assert nearcopies.near_copy_stage(spark, edge.docs(spark)).columns == edge.DOCS.names
+
+
+def test_gray_order_index_proposes(spark, monkeypatch):
+    """With min-hashes that never meet, copies within two bits are found by the Gray-order index alone, and verified."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10_000)}" for _ in range(4000)]
+    other, far = [*words[:-1], "n"], [f"v{rng.randrange(10_000)}" for _ in range(4000)]
+    rows = [(3, " ".join(words)), (4, " ".join(other)), (5, " ".join(far))]
+    a, b = (simhash.majority(np.array([xxhash.xxh64_intdigest(" ".join(s), 42) for s in sorted(shingles(t))], np.uint64)) for _, t in rows[:2])
+    assert bin(int(a) ^ int(b)).count("1") <= 2
+    apart = lambda sets, cfg: np.array([[x.sum() + np.uint64(b) for b in range(cfg.bands)] for x in sets], np.uint64)
+    monkeypatch.setattr(nearcopies, "band_keys", apart)
+    rows = frame(spark, rows)
+    assert sorted(r.doc_id for r in nearcopies.near_copy_stage(spark, rows).collect()) == [3, 5]
