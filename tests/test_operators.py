@@ -170,6 +170,41 @@ def test_auto_encoder_separates_cliques():
     assert z.shape == (30, 8) and auc > 0.7
 
 
+def test_products_and_absent_pairs_are_exact():
+    rng = np.random.default_rng(5)
+    n = 300
+    u, v = np.r_[np.zeros(299, int), rng.integers(0, n, 2000)], np.r_[np.arange(1, n), rng.integers(0, n, 2000)]  # a hub beyond all layers
+    x, y = rng.random(len(u) * 2), rng.normal(size=(n, 4))
+    a = np.zeros((n, n))
+    np.add.at(a, (np.r_[u, v], np.r_[v, u]), x)
+    for block, least in ((1 << 12, 64), (7, 2), (50, 1000)):
+        assert np.allclose(kernels.times_adjacency(np.r_[u, v], np.r_[v, u], x, block, least)(y), a @ y)
+    p = kernels.absent_sampler(n, u, v, rng)(5000)
+    assert len(p) == 5000 and (p[:, 0] < p[:, 1]).all() and (a[p[:, 0], p[:, 1]] == 0).all()
+    assert len(np.unique(p, axis=0)) > 4000
+
+
+@pytest.mark.parametrize("side", ["A", "B"])
+def test_projections_in_a_task_equal_the_join(spark, side):
+    rng = np.random.default_rng(6)
+    pairs = {(f"u{a}", f"u{b}") for a, b in rng.integers(0, 30, (120, 2)).tolist() if a != b}
+    rows = [("t", day(0), a, b, 1, 5) for a, b in sorted(pairs)] + [("t", day(1), "x", "y", 1, 5)]  # the second window has no projection
+    df = spark.createDataFrame(rows, "hashtag string, window_end date, source string, target string, weight long, first_exposure_epoch long")
+    want = {(r.source, r.target, r.weight) for r in graph.count_projection(df, side).collect()}
+    own = kernels.per_window(df, lambda ids, u, v, w: {"source": [ids[i] for i in u], "target": [ids[i] for i in v], "weight": w.astype(int)}, "source string, target string, weight long", side)
+    assert {(r.source, r.target, r.weight) for r in own.collect()} == want and len(want) > 100
+    ids = {x: i for i, x in enumerate(sorted({x for p in pairs for x in p}))}
+    u, v = (np.array([ids[p[k]] for p in sorted(pairs)]) for k in (0, 1))
+    assert all((x == y).all() for x, y in zip(kernels.project(len(ids), u, v, side), kernels.project(len(ids), u, v, side, block=3), strict=True))
+
+
+def test_auto_encoder_of_a_projection_lists_no_pairs(spark):
+    df = spark.createDataFrame([("t", day(0), f"u{a}", f"x{a // 3 + k}", 1) for a in range(24) for k in range(2)], "hashtag string, window_end date, source string, target string, weight long")
+    out = kernels.gae_embeddings(df, "A")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id for r in out.collect()} == {f"u{a}" for a in range(24)} and len({r.link_auc for r in out.collect()}) == 1
+
+
 def test_auto_encoder_has_no_size_limit():
     u, v, w = ring(220, 10, [(10 * i, 10 * i + 10) for i in range(219)])
     z, auc = kernels.gae(2200, u, v, w)
