@@ -265,6 +265,30 @@ def test_random_walks_follow_edges(spark):
     assert {r.id for r in vectors} == set("abcd") and all(len(r.embedding) == 4 for r in vectors)
 
 
+def test_random_walks_choose_by_the_hash_and_shuffle_edges_alone(spark):
+    rng = np.random.default_rng(8)
+    linked = sorted({(f"ü{a}", f"v{b}") for a, b in rng.integers(0, 25, (60, 2)).tolist()})
+    df = spark.createDataFrame([("t", day(0), a, b, 1, 5) for a, b in linked], "hashtag string, window_end date, source string, target string, weight long, first_exposure_epoch long")
+    found = embeddings.random_walks(df, walks=3, length=4, seed=9, side="A")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    near = {}
+    for r in graph.count_projection(df, "A").collect():
+        near.setdefault(r.source, set()).add(r.target)
+        near.setdefault(r.target, set()).add(r.source)
+    keys = [(x, k, n) for x in near for k in (1, 2, 3) for n in (1, 2, 3)]
+    rows = spark.createDataFrame(keys, "start string, walk int, n int").withColumn("h", F.xxhash64(F.lit(9), "start", "walk", "n")).collect()
+    h = {(r.start, r.walk, r.n): r.h for r in rows}
+    want = set()
+    for x in near:
+        for k in (1, 2, 3):
+            path = [x]
+            for n in (1, 2, 3):
+                choice = sorted(near[path[-1]])
+                path.append(choice[h[x, k, n] % len(choice)])
+            want.add((f"{x}#{k}", tuple(path)))
+    assert {(r.walk, tuple(r.nodes)) for r in found.collect()} == want and len(want) > 30
+
+
 def test_negative_pairs_are_absent(spark):
     df = spark.createDataFrame([("t", day(0), f"n{i}", f"n{i + 1}", 1.0) for i in range(9)], EDGES)
     got = [(r.source, r.target) for r in graph.absent_pairs(df, 6).collect()]
