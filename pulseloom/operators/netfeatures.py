@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import divide
 from .deltas import lag_delta
 from .graph import KEYS, node_degrees
+from .kernels import _graph, project
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -132,6 +135,104 @@ def network_features(graphs: dict[str, DataFrame], labels: dict[str, DataFrame]
     return out.withColumns({f"net_has_{name}": F.coalesce(f"net_has_{name}", F.lit(0)) for name in graphs})
 
 
+def triangle_counts(n: int, u: np.ndarray, v: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+    """Triangles at each node of a graph of distinct edges u < v; as in `triangles`, edges point to the higher degree. About `block` wedges are listed at a time."""
+    degree = np.bincount(np.r_[u, v], minlength=n)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((np.arange(n), degree))] = np.arange(n)
+    a, b = np.minimum(rank[u], rank[v]), np.maximum(rank[u], rank[v])
+    code = np.sort(a * n + b)
+    a, b = code // n, code % n
+    later = np.searchsorted(a, a, "right") - np.arange(len(a)) - 1  # edges of the same node
+    total = np.r_[0, np.cumsum(later)]
+    found = np.zeros(n, np.int64)
+    at = 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + block, "right")) - 1)
+        first = np.repeat(np.arange(at, end), later[at:end])
+        second = first + 1 + np.arange(len(first)) - np.repeat(total[at:end] - total[at], later[at:end])
+        third = b[first] * n + b[second]
+        near = np.minimum(np.searchsorted(code, third), len(code) - 1)
+        hit = code[near] == third
+        for x in (a[first[hit]], b[first[hit]], b[second[hit]]):
+            found += np.bincount(x, minlength=n)
+        at = end
+    return found[rank]
+
+
+def graph_row(n: int, u: np.ndarray, v: np.ndarray, cluster: np.ndarray | None = None, w: np.ndarray | None = None) -> dict[str, float | None]:
+    """basic_stats, degree_stats, clustering and, with each node's cluster, community_features of one graph."""
+    m = len(u)
+    degree = np.bincount(np.r_[u, v], minlength=n)
+    x = np.sort(degree).astype(float)
+    code = np.unique((np.minimum(u, v) * n + np.maximum(u, v))[u != v])
+    out = {
+        "n_nodes": n, "n_edges": m, "density": m / (n * (n - 1) / 2) if n > 1 else 0.0, "avg_degree": x.mean(), "max_degree": int(x[-1]), "std_degree": x.std(),
+        "degree_gini": 2 * (np.arange(1, n + 1) * x).sum() / (n * x.sum()) - (n + 1) / n,
+    }
+    if n >= 3:
+        t, wedges = triangle_counts(n, code // n, code % n), degree * (degree - 1) / 2
+        out["avg_clustering"] = np.divide(t, wedges, out=np.zeros(n), where=wedges > 0).mean()
+        out["transitivity"] = t.sum() / wedges.sum() if wedges.sum() > 0 else 0.0
+    if cluster is not None:
+        _, c = np.unique(cluster, return_inverse=True)
+        p = np.bincount(c) / n
+        total = w.sum()
+        ends, inner = np.bincount(np.r_[c[u], c[v]], np.r_[w, w]), np.bincount(c[u], w * (c[u] == c[v]), len(p))
+        out |= {"n_communities": len(p), "community_size_entropy": -(p * np.log(p + 1e-10)).sum(), "largest_community_pct": p.max(), "modularity": (inner / total - (ends / (2 * total)) ** 2).sum()}
+    return out
+
+
+FEATURES = {
+    "n_nodes": "long", "n_edges": "long", "density": "double", "avg_degree": "double", "max_degree": "long", "std_degree": "double", "degree_gini": "double", "avg_clustering": "double", "transitivity": "double",
+    "n_communities": "long", "community_size_entropy": "double", "largest_community_pct": "double", "modularity": "double",
+}
+
+
+def window_features(edges: DataFrame, cluster: str | None = None) -> DataFrame:
+    """network_features of bipartite edges (`bip`) and their projections (`proj_a`, `proj_b`), made in one task a window: only the edges are shuffled, no pairs and no wedges.
+
+    cluster: a column of `edges` with the community of the source, for the A projection.
+    """
+    kinds = dict(edges.dtypes)
+    names = {g: [c for c in FEATURES if g == "proj_a" and cluster or c not in ("n_communities", "community_size_entropy", "largest_community_pct", "modularity")] for g in ("bip", "proj_a", "proj_b")}
+    schema = {f"net_{g}_{c}": FEATURES[c] for g in names for c in names[g]}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, u, v, _ = _graph(pdf)
+        n = len(ids)
+        rows = {"bip": graph_row(n, u, v)}
+        for side in "AB":
+            a, b, w = project(n, u, v, side)
+            if len(a):
+                there = np.unique(np.r_[a, b])
+                known = None
+                if side == "A" and cluster:
+                    of = dict(zip(pdf["source"], pdf["cluster"], strict=True))
+                    known = np.array([of[ids[i]] for i in there.tolist()])
+                rows[f"proj_{side.lower()}"] = graph_row(len(there), np.searchsorted(there, a), np.searchsorted(there, b), known, w.astype(float))
+        flat = {f"net_{g}_{c}": row.get(c) for g, row in rows.items() for c in names[g]}
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in KEYS}, **{c: pd.Series([flat.get(c)], dtype="Int64" if kind == "long" else "Float64") for c, kind in schema.items()}})
+
+    own = edges.select(*KEYS, "source", "target", F.lit(1.0).alias("weight"), *([F.col(cluster).alias("cluster")] if cluster else []))
+    found = own.groupBy(*KEYS).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + "".join(f", {c} {kind}" for c, kind in schema.items()))
+    # One row a graph, as a graph's differences are those between its own windows.
+    cells = {g: [(F.col(f"net_{g}_{c}") if c in names[g] else F.lit(None).cast(FEATURES[c])).alias(c) for c in names["proj_a"]] for g in names}
+    rows = found.select(*KEYS, F.explode(F.array(*(F.struct(F.lit(g).alias("g"), *cells[g]) for g in names))).alias("x"))
+    rows = rows.select(*KEYS, "x.*").where("n_nodes is not null")
+    before = Window.partitionBy("hashtag", "g").orderBy("window_end")
+    n = F.col("n_edges").cast("double")
+    rows = rows.withColumn("edge_turnover", F.when(F.lag(n).over(before) > 0, F.abs(n - F.lag(n).over(before)) / F.lag(n).over(before)))
+    for c in ("modularity", "avg_degree", "density"):
+        if c in rows.columns:
+            rows = rows.withColumn(f"delta_{c}", F.col(c) - F.lag(c).over(before))
+    out = []
+    for g in names:
+        out += [F.max(F.when(F.col("g") == g, F.col(c))).alias(f"net_{g}_{c}") for c in (*names[g], "edge_turnover", *(f"delta_{c}" for c in ("modularity", "avg_degree", "density") if c in names[g]))]
+        out.append(F.max((F.col("g") == g).cast("int")).alias(f"net_has_{g}"))
+    return rows.groupBy(*KEYS).agg(*out)
+
+
 def label_agreement(labels: DataFrame) -> DataFrame:
     """(keys, prev_window_end, nmi): normalised mutual information with the previous existing window, over ids in both."""
     ends = labels.select(*KEYS).distinct().withColumn("prev_window_end", F.lag("window_end").over(Window.partitionBy("hashtag").orderBy("window_end"))).where("prev_window_end is not null")

@@ -241,6 +241,26 @@ def test_components_and_triangles(spark):
     assert abs(c[day(0)].net_g_transitivity - 0.6) < 1e-9 and day(1) not in c
 
 
+def test_window_features_equal_the_joins_without_any(spark):
+    rng = np.random.default_rng(11)
+    rows = sorted({(d, f"u{a}", f"u{b}") for d, a, b in zip(rng.integers(0, 3, 260).tolist(), rng.integers(0, 25, 260).tolist(), rng.integers(0, 30, 260).tolist(), strict=True) if a != b} | {(7, "u90", "u91"), (8, "u90", "u91"), (8, "u92", "u91")})
+    df = spark.createDataFrame([("t", day(d), a, b, 2, 5) for d, a, b in rows], "hashtag string, window_end date, source string, target string, weight long, first_exposure_epoch long")
+    cluster = lambda c: F.substring(c, 2, 9).cast("int") % 3
+    a = graph.count_projection(df, "A")
+    labels = graph.node_degrees(a).select("hashtag", "window_end", "id", F.coalesce(cluster("id"), F.lit(-1)).alias("cluster"))
+    want = netfeatures.network_features({"bip": df, "proj_a": a, "proj_b": graph.count_projection(df, "B")}, {"proj_a": labels})
+    got = netfeatures.window_features(df.withColumn("cluster", F.coalesce(cluster("source"), F.lit(-1))), "cluster")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and dict(want.dtypes) == dict(got.dtypes)
+    mine = {r.window_end: r.asDict() for r in got.collect()}
+    for r in want.collect():
+        for c, x in r.asDict().items():
+            y = mine[r.window_end][c]
+            assert (x is None) == (y is None) and (x is None or x == y or abs(x - y) < 1e-9), (c, x, y)
+    assert len(mine) == 5
+    u, v = ring(2, 6, [(0, 6)])[:2]
+    assert all((netfeatures.triangle_counts(12, u, v, block) == 10).all() for block in (1, 5, 1 << 20))
+
+
 def test_second_component(spark):
     u, v, _ = ring(2, 12, [])
     big = [("t", day(0), f"n{a}", f"n{b}", 1.0) for a, b in zip(u, v, strict=True)] + [("t", day(0), "n0", "z", 1.0)]
