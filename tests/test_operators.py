@@ -521,3 +521,35 @@ def test_distance_agreement_takes_all_pairs(spark):
     full = ~np.isnan(x) & ~np.isnan(y)
     want = np.cov(x[full], y[full], bias=True)[0, 1] / (np.nanstd(x) * np.nanstd(y))
     assert [(r.label, r.n_pairs) for r in got] == [(1, differ.sum())] and abs(got[0].agreement - want) < 1e-9
+
+
+def _same(want, got, keys):
+    assert dict(want.dtypes) == dict(got.dtypes)
+    mine, rows = {tuple(r[k] for k in keys): r for r in got.collect()}, want.collect()
+    assert len(mine) == len(rows) > 1
+    for r in rows:
+        for c, x in r.asDict().items():
+            y = mine[tuple(r[k] for k in keys)][c]
+            assert (x is None) == (y is None) and (x is None or x == y or abs(x - y) < 1e-7), (c, x, y)
+
+
+def test_features_of_embeddings_in_one_task(spark):
+    """The fused kernels give what the operators that they join give, and train once."""
+    rng = np.random.default_rng(12)
+    pairs = sorted({(d, f"u{a:02}", f"u{b:02}") for d, a, b in zip(rng.integers(0, 2, 160).tolist(), rng.integers(0, 20, 160).tolist(), rng.integers(10, 40, 160).tolist(), strict=True) if a != b} | {(5, "x", "y")})
+    df = spark.createDataFrame([("t", day(d), a, b, 1, 5 + 86400 * i) for i, (d, a, b) in enumerate(pairs)], "hashtag string, window_end date, source string, target string, weight long, first_exposure_epoch long")
+    roles = [(d, x, r) for d, x, r in sorted({(d, p[k], r) for d, *p in pairs for k, r in ((0, "influencer"), (1, "audience"))})]
+    nodes = spark.createDataFrame([("t", day(d), x, r, 7 + i) for i, (d, x, r) in enumerate(roles)], "hashtag string, window_end date, id string, partition string, ts long")
+    vectors = kernels.gae_embeddings(df)
+    keys = ("hashtag", "window_end")
+    got = embeddings.window_role_features(df)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+    _same(embeddings.role_features(vectors, nodes, df), got, keys)
+    weighted = graph.recency_weights(df.withColumn("epoch", F.col("first_exposure_epoch")), mode="first")
+    got = embeddings.score_correlations(embeddings.gae_components(df), df, weighted, nodes)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+    _same(embeddings.interpretability(vectors, df, weighted, nodes), got, (*keys, "component", "statistic"))
+    a = graph.count_projection(df, "A")
+    got = embeddings.window_walk_features(df, side="A")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+    _same(embeddings.walk_features(embeddings.walk_embeddings(embeddings.random_walks(a)), a, kernels.connected_components(a)), got, keys)
