@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, trimmed, utf8_blocks
@@ -111,14 +111,17 @@ def _sets(cfg: CopyConfig):
     return trimmed(run)
 
 
+def similar(x: np.ndarray, y: np.ndarray, cfg: CopyConfig) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= cfg.similarity * (len(x) + len(y) - both) - 1e-9
+
+
 def _similar(cfg: CopyConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = np.zeros(batch.num_rows, bool)
             for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near[k] = both >= cfg.similarity * (len(x) + len(y) - both) - 1e-9
+                near[k] = similar(*(np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3)), cfg)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return trimmed(run)
@@ -140,13 +143,13 @@ def _sketch(cfg: CopyConfig):
                     x ^= x >> np.uint64(32)
                     low[at : at + step] = x.min(1)
                 out.append(np.packbits((low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["set", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["set", "hashes", "sketch"])
 
     return trimmed(run)
 
 
 def _close(cfg: CopyConfig):
-    """Pairs of two blocks of one key whose sketches may be those of similar sets."""
+    """Links between two blocks of one key, of sets whose sketches may be those of similar ones and that are; as many as join their components."""
     # One bit of a min-hash differs with probability (1 - similarity) / 2; the limit is 4.5 standard deviations above.
     p = (1 - cfg.similarity) / 2
     limit = cfg.bits * p + 4.5 * (cfg.bits * p * (1 - p)) ** 0.5
@@ -155,32 +158,48 @@ def _close(cfg: CopyConfig):
         held = held.combine_chunks()
         name, root, block = (held.column(c).to_numpy() for c in ("set", "root", "block"))
         code = np.frombuffer(b"".join(held.column("sketch").to_pylist()), np.uint64).reshape(len(name), -1)
-        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in held.column("hashes")]
+        # Components of what is linked so far: a pair within one needs no comparison, and a link within one isn't written.
+        names, own = np.unique(root, return_inverse=True)
+        up = np.arange(len(names))
         a, b = [], []
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         for at in range(0, len(left), 64):
             i = left[at : at + 64]
             near = np.bitwise_count(code[i][:, None, :] ^ code[right][None, :, :]).sum(2, dtype=np.int32) <= limit
-            x, y = np.nonzero(near & (root[i][:, None] != root[right]))
-            a.append(name[i[x]])
-            b.append(name[right[y]])
-        a, b = np.concatenate(a), np.concatenate(b)
+            for x, y in zip(*(k.tolist() for k in np.nonzero(near & (root[i][:, None] != root[right]))), strict=True):
+                p, q = int(i[x]), int(right[y])
+                one, two = top(own[p]), top(own[q])
+                if one != two and similar(sets[p], sets[q], cfg):
+                    up[one] = two
+                    a.append(name[p])
+                    b.append(name[q])
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
-def close_pairs(rest: DataFrame, sets: DataFrame, cfg: CopyConfig) -> DataFrame:
-    """(a, b): sets of one key of `rest` (band, key, set, root) that may be similar by their sketches and aren't in one component yet.
+def close_links(rest: DataFrame, sets: DataFrame, cfg: CopyConfig) -> DataFrame:
+    """(a, b): links that join the sets of one key of `rest` (band, key, set, root) which aren't in one component yet.
 
     A key's sets are dealt to blocks of about `block` rows, and each two blocks
-    meet in one task, so that what is written grows with the blocks and what a
-    task holds doesn't grow at all; pairs are compared there and not written.
+    meet in one task. Sketches rule pairs out there, and whole shingle sets decide;
+    a task writes a forest of its links, fewer than it has rows, so that what a
+    group writes doesn't grow with the square of its size.
     """
-    sketches = sets.join(rest.select("set").distinct(), "set").select("set", "hashes").mapInArrow(_sketch(cfg), "set long, sketch binary")
+    full = sets.join(rest.select("set").distinct(), "set").select("set", "hashes").mapInArrow(_sketch(cfg), "set long, hashes binary, sketch binary")
     size = rest.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / cfg.block).cast("int").alias("blocks"))
-    dealt = rest.join(sketches, "set").join(size, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("set", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = rest.join(full, "set").join(size, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("set", F.lit(5)), F.col("blocks")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
-    return dealt.select("band", "key", "set", "root", "block", "sketch", F.explode(meet).alias("m")).groupBy("band", "key", "m").applyInArrow(_close(cfg), "a long, b long")
+    return dealt.select("band", "key", "set", "root", "block", "sketch", "hashes", F.explode(meet).alias("m")).groupBy("band", "key", "m").applyInArrow(_close(cfg), "a long, b long")
 
 
 def text_key(text: str = "text"):
@@ -204,8 +223,9 @@ def copy_groups(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id
     near = linked(spark, prints.select("fp").distinct(), "near-copies-gray", SimHashConfig(words=cfg.words, max_bits=cfg.max_bits, seed=cfg.seed))
     gray = prints.join(near, F.col("fp") == F.col("node"), "left").select("set", F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("key"))
     dealt = own.select("set", F.posexplode("one.keys").alias("band", "key")).unionByName(gray)
-    crowd = dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("low")).where("n > 1").select("band", "key", "n")
-    shared = kept(dealt.join(crowd, ["band", "key"]), "shared")
+    # One exchange of all keys gives the sizes and the rows: a sum by key would be shuffled once more.
+    size = F.count(F.lit(1)).over(Window.partitionBy("band", "key"))
+    shared = kept(dealt.withColumn("n", size).where("n > 1"), "shared")
     weight = shared.groupBy("set").agg(F.sum("n").alias("weight"))
     members = kept(shared.select("set", "band", "key").join(weight, "set"), "members")
     leaders = members.groupBy("band", "key").agg(F.max(F.struct("weight", "set")).alias("top")).select("band", "key", F.col("top.set").alias("leader"))
@@ -228,8 +248,8 @@ def copy_groups(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id
     split = rest.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
     rest = rest.join(split, ["band", "key"], "left_semi")
     rest = kept(rest.select("band", "key", "set", "root"), "rest")
-    second = close_pairs(rest, sets, cfg)
-    roots = components(spark, found.unionByName(links(second, "links-2")), "near-copies-2")
+    second = kept(close_links(rest, sets, cfg), "links-2")
+    roots = components(spark, found.unionByName(second), "near-copies-2")
     return marked.join(roots, F.col("set") == F.col("node"), "left").select("doc_id", "text_key", F.coalesce("root", "set").alias("root"))
 
 

@@ -101,3 +101,17 @@ def test_gray_order_index_proposes(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "band_keys", apart)
     rows = frame(spark, rows)
     assert sorted(r.doc_id for r in nearcopies.near_copy_stage(spark, rows).collect()) == [3, 5]
+
+
+def test_links_of_a_group_do_not_grow_with_its_square(spark):
+    """All pairs of a group are similar: its links are a forest, whatever the number of pairs."""
+    rng = np.random.default_rng(3)
+    base, n = rng.integers(0, 1 << 62, 60, dtype=np.uint64), 60
+    sets = [np.unique(np.r_[base, np.uint64(k)]) for k in range(n)] + [rng.integers(0, 1 << 62, 61, dtype=np.uint64)]
+    cfg = nearcopies.CopyConfig(block=16)
+    held = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "set long, hashes binary")
+    rest = spark.createDataFrame([(0, 9, k, k) for k in range(n + 1)], "band int, key long, set long, root long")
+    got = [(r.a, r.b) for r in nearcopies.close_links(rest, held, cfg).collect()]
+    assert all(a < b < n for a, b in got) and len(got) < 4 * n
+    root = {r.node: r.root for r in simhash.components(spark, spark.createDataFrame(got, "a long, b long"), "test-links").collect()}
+    assert len({root.get(k, k) for k in range(n)}) == 1
