@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,5 +126,35 @@ def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], fields
     return df.mapInArrow(run, schema)
 
 
+def sieve(keys: DataFrame, col: str, most_words: int = 1 << 19) -> Callable[[Column], Column]:
+    """A test that holds for all values of the long column `col` of keys, and for about one in a hundred others.
+
+    A Bloom filter of 16 bits a key in blocks of one 64-bit word, `most_words` words at most; beyond
+    that (two million keys) it lets more through, so an exact join has to follow. It keeps
+    rows that a join needs not from being shuffled for it.
+    """
+    spark = keys.sparkSession
+    words = 1 << max(0, (min(4 * most_words, keys.count()) // 4).bit_length())
+    words = min(words, most_words)
+
+    def place(x: Column) -> Column:
+        return F.pmod(F.shiftrightunsigned(F.xxhash64(x, F.lit(13)), 18), F.lit(words)).cast("int")
+
+    def mask(x: Column) -> Column:
+        h = F.xxhash64(x, F.lit(13))
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, s).bitwiseAND(F.lit(63)).cast("int")) for s in (0, 6, 12)]
+        return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+    held = keys.select(place(F.col(col)).alias("at"), mask(F.col(col)).alias("m")).groupBy("at").agg(F.bit_or("m").alias("m")).toArrow()
+    full = np.zeros(words, np.int64)
+    full[held.column("at").to_numpy()] = held.column("m").to_numpy()
+    table = spark.createDataFrame(pa.table({"words": pa.array([full], pa.list_(pa.int64()))})).scalar()
+
+    def holds(x: Column) -> Column:
+        return F.get(table, place(x)).bitwiseAND(mask(x)) == mask(x)
+
+    return holds
+
+
 def crc_remainder(col: str, mod: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(mod)

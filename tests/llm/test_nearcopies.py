@@ -4,8 +4,9 @@ import re
 import corpus_pipeline
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from pulseloom.llm import nearcopies, simhash
+from pulseloom.llm import common, nearcopies, simhash
 
 from . import edge
 
@@ -115,3 +116,39 @@ def test_links_of_a_group_do_not_grow_with_its_square(spark):
     assert all(a < b < n for a, b in got) and len(got) < 4 * n
     root = {r.node: r.root for r in simhash.components(spark, spark.createDataFrame(got, "a long, b long"), "test-links").collect()}
     assert len({root.get(k, k) for k in range(n)}) == 1
+
+
+def test_texts_are_not_shuffled(spark):
+    """What is shuffled are keys and the texts that have partners, not the corpus: neither for its sets nor for the result."""
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(3000)) for _ in range(200)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[k] + " more") for k in range(8)] + [(1100, texts[9]), (None, texts[10]), (1, texts[1])]
+    sc, size = spark.sparkContext._jsc.sc(), sum(map(len, texts))
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.length()))
+
+    docs = frame(spark, rows).persist()
+    docs.count()
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in nearcopies.near_copy_stage(spark, docs).collect())
+        assert written() - before < 0.6 * size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        docs.unpersist()
+    assert got == sorted([(False, k, t) for k, t in enumerate(texts)] + [(True, 0, texts[10])])
+
+
+def test_sieve_holds_for_its_keys(spark):
+    keys = spark.range(3000).selectExpr("id * 7919 as h")
+    for words in (1 << 19, 8):  # too few words: more pass, none is lost
+        holds = common.sieve(keys, "h", words)
+        assert keys.where(~holds(F.col("h"))).isEmpty()
+    others = spark.range(20_000).selectExpr("id * 7919 + 1 as h")
+    assert others.where(common.sieve(keys, "h")(F.col("h"))).count() < 400
+    assert others.where(common.sieve(keys.where("false"), "h")(F.col("h"))).isEmpty()
