@@ -11,7 +11,8 @@ the search takes pages by their lower bound and skips, by |d(q, parent) -
 d(entry, parent)| - radius, entries whose distance then needn't be computed.
 Every query first searches the tree with the best bound; its k-th score then
 decides which other trees can hold a better or equal one, and it goes to just
-these. Queries meet trees in blocks of bounded size. Scores are integers.
+these. Queries meet trees in blocks of bounded size, and a tree's page meets all
+queries of a round that take it in one matrix product. Scores are integers.
 
 Bounded by construction: pivots and tree statistics (rows / tree_rows vectors)
 are all that is broadcast; a group is one tree and one block of queries.
@@ -24,7 +25,6 @@ and each as a candidate; ties go to the smaller vec_id; no rows give none.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +42,7 @@ class MTreeConfig:
     tree_rows: int = 8192  # vectors of a tree, twice that at most
     query_rows: int = 8192  # queries of a block
     page: int = 128  # entries of a page
+    together: int = 2048  # queries that search a tree side by side
 
 
 def clean(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
@@ -107,52 +108,89 @@ class MTree:
 
     def search(self, q: np.ndarray, own: int, k: int, floor: float) -> list[tuple[int, int]]:
         """(score, id) of the k best but id `own`, by score and then id; those under `floor` needn't be found."""
-        if self.root < 0:
-            return []
-        qq = float(q @ q)
-        point = np.r_[q, 0.0]
+        _, ids, scores = self.search_many(q[None, :], np.array([own]), k, np.array([floor]))
+        return list(zip(scores.astype(np.int64).tolist(), ids.tolist(), strict=True))
+
+    def search_many(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's row, id, score) of each query's k best but id `own`, by query, score and id; those under `floor` needn't be found.
+
+        Queries go best-first side by side: in each round each takes its next pages by their
+        lower bounds (one, then two, four and so on), and a page meets all queries that take it in one matrix product.
+        """
+        n = len(queries)
+        none = np.zeros(0, np.int64)
+        if self.root < 0 or not n:
+            return none, none, np.zeros(0)
+        qq = (queries * queries).sum(1)
         slack = 1e-7 * (1.0 + qq + self.peak)
-
-        def reach(score: float) -> float:
-            """The distance within which a vector with at least this score lies."""
-            return float(np.sqrt(max(0.0, qq + self.peak - 2 * score + slack)))
-
-        best: list[tuple[float, int]] = []  # a heap, worst first: (score, -id)
-        limit = np.inf if floor == -np.inf else reach(floor)
-        top = np.nan
-        heap: list[tuple[float, int, float]] = [(0.0, self.root, top)]
-        while heap:
-            low, page, d_parent = heapq.heappop(heap)
-            if low > limit:
+        worst = floor.astype(np.float64)  # the score that an entry has to reach,
+        worst_id = np.full(n, np.iinfo(np.int64).max)  # and at that score the id that it has to be under
+
+        def reach() -> np.ndarray:
+            """The distance within which a vector with at least the worst score lies."""
+            return np.sqrt(np.maximum(0.0, qq + self.peak - 2 * worst + slack))
+
+        limit = reach()
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, np.zeros(0))]
+
+        def merge() -> None:
+            nonlocal limit
+            who, ids, scores = (np.concatenate(x) for x in zip(*best, strict=True))
+            by = np.lexsort((ids, -scores, who))
+            who, ids, scores = who[by], ids[by], scores[by]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            last = rank == k - 1
+            worst[who[last]], worst_id[who[last]] = scores[last], ids[last]
+            best[:] = [(who[rank < k], ids[rank < k], scores[rank < k])]
+            limit = reach()
+
+        # Pages still to be read: query, page, lower bound, distance to the page's routing object.
+        rest = (np.arange(n), np.full(n, self.root), np.zeros(n), np.full(n, np.nan))
+        take = 1
+        while True:
+            rest = tuple(x[rest[2] <= limit[rest[0]]] for x in rest)
+            if not len(rest[0]):
                 break
-            leaf, members, routing, radii, away = self.pages[page]
-            if leaf:
-                near = members
-                if d_parent == d_parent and limit < np.inf:
-                    near = members[np.abs(d_parent - away) <= limit]
-                if not len(near):
+            by = np.lexsort((rest[2], rest[0]))
+            rest = tuple(x[by] for x in rest)
+            now = np.arange(len(by)) - np.searchsorted(rest[0], rest[0]) < take
+            who, page, low, d_parent = (x[now] for x in rest)
+            kept = [tuple(x[~now] for x in rest)]
+            by = np.argsort(page, kind="stable")
+            size = 0
+            for g in np.split(by, np.flatnonzero(np.diff(page[by])) + 1):
+                # What other pages of this round have raised rules some out.
+                g = g[low[g] <= limit[who[g]]]
+                if not len(g):
+                    continue
+                at, dp = who[g], d_parent[g][:, None]
+                leaf, members, routing, radii, away = self.pages[page[g[0]]]
+                # The distance to the parent rules entries out before their own is computed.
+                may = ~(np.abs(dp - away) - (0.0 if leaf else radii) > limit[at][:, None])
+                pick = np.flatnonzero(may.any(0))
+                may = may[:, pick]
+                if leaf:
+                    scores = np.asarray(self.raw[members[pick]] @ queries[at].T).T
+                    ids = self.ids[members[pick]]
+                    bar = worst[at][:, None]
+                    may &= (scores > bar) | ((scores == bar) & (ids < worst_id[at][:, None]))
+                    may &= ids != own[at][:, None]
+                    i, e = np.nonzero(may)
+                    best.append((at[i], ids[e], scores[i, e]))
+                    size += len(i)
+                    if size > 1 << 18:
+                        merge()
+                        size = 0
                     continue
-                scores = self.raw[near] @ q
-                ids = self.ids[near]
-                keep = ids != own
-                if len(best) == k:
-                    keep &= scores >= best[0][0]
-                for s, i in zip(scores[keep].tolist(), ids[keep].tolist(), strict=True):
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
-                if len(best) == k:
-                    limit = min(limit, reach(max(best[0][0], floor)))
-                continue
-            pick = np.arange(len(members))
-            if d_parent == d_parent and limit < np.inf:
-                pick = pick[np.abs(d_parent - away) - radii <= limit]
-            d = np.linalg.norm(routing[pick] - point, axis=1)
-            lower = np.maximum(0.0, d - radii[pick])
-            for e in np.flatnonzero(lower <= limit).tolist():
-                heapq.heappush(heap, (float(lower[e]), int(members[pick[e]]), float(d[e])))
-        return sorted(((int(s), -i) for s, i in best), key=lambda x: (-x[0], x[1]))
+                centres = routing[pick]
+                d = np.sqrt(np.maximum(0.0, (centres * centres).sum(1) - 2 * queries[at] @ centres[:, :-1].T + qq[at][:, None]))
+                lower = np.maximum(0.0, d - radii[pick])
+                i, e = np.nonzero(may & (lower <= limit[at][:, None]))
+                kept.append((at[i], members[pick][e], lower[i, e], d[i, e]))
+            merge()
+            rest = tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+            take *= 2
+        return best[0]
 
 
 @dataclass(frozen=True)
@@ -232,10 +270,12 @@ def top_inner_products(spark: SparkSession, vectors: DataFrame, queries: DataFra
             ids = left.column("vec_id").to_numpy()
             by = np.argsort(ids, kind="stable")  # the same tree, in whatever order rows come
             tree = MTree(ids[by], matrix(left.column("v"), dim)[by], peak, cfg.page)
-            rows = zip(right.column("vec_id").to_pylist(), matrix(right.column("v"), dim), right.column("q").to_pylist(), right.column("floor").to_pylist(), strict=True)
-            for who, x, q, floor in rows:
-                out += [(who, q, i, s) for s, i in tree.search(x, who, cfg.k, floor)]
-        cols = list(zip(*out, strict=True)) or [[]] * 4
+            who, q, floor, x = *(right.column(c).to_numpy() for c in ("vec_id", "q", "floor")), matrix(right.column("v"), dim)
+            for at in range(0, len(who), cfg.together):
+                own = slice(at, at + cfg.together)
+                i, found, scores = tree.search_many(x[own], who[own], cfg.k, floor[own])
+                out.append((who[own][i], q[own][i], found, scores.astype(np.int64)))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] or [[]] * 4
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "q", "vec_id", "score"])
 
     found_schema = "query_id long, q long, vec_id long, score long"

@@ -66,3 +66,30 @@ def test_tree_prunes():
         want = sorted(((int(-s[i]), i) for i in range(2000) if i != q))[:20]
         assert tree.search(raw[q], q, 20, -np.inf) == [(-a, i) for a, i in want]
     assert seen < 20 * 2000 * 0.5
+
+
+def test_queries_share_a_page_visit():
+    """Where little can be pruned, products grow with pages and rounds, not with queries times pages; results, ties and floors stay exact."""
+    rng = np.random.default_rng(5)
+    raw = np.floor(rng.normal(size=(1500, 12)) * 3)
+    raw[300:500] = raw[7]  # ties
+    tree = mtree.MTree(np.arange(1500), raw, float((raw * raw).sum(1).max()), 32)
+    calls = 0
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            nonlocal calls
+            calls += 1
+            return np.asarray(self) @ other
+
+    tree.raw = raw.view(Counted)
+    queries = np.arange(0, 1500, 5)
+    scores = raw[queries] @ raw.T
+    floor = np.where(queries % 2, -np.inf, np.sort(scores, axis=1)[:, -8])
+    who, ids, got = tree.search_many(raw[queries], queries, 20, floor)
+    assert calls < 12 * len(tree.pages)
+    for r, q in enumerate(queries.tolist()):
+        want = sorted((-scores[r, i], i) for i in range(1500) if i != q)[:20]
+        found = list(zip((-got[who == r]).tolist(), ids[who == r].tolist(), strict=True))
+        above = [w for w in want if -w[0] >= floor[r]]
+        assert found[: len(above)] == above and (floor[r] > -np.inf or found == want)
