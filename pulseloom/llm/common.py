@@ -123,7 +123,7 @@ def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], fields
                 new = make(batch)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in fields)])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def sieve(keys: DataFrame, col: str, most_words: int = 1 << 19) -> Callable[[Column], Column]:

@@ -1,5 +1,7 @@
 import corpus_pipeline
 
+from pulseloom.llm import common
+
 from . import edge
 from .test_decontam import brute as overlap
 from .test_nearcopies import brute as copies
@@ -41,3 +43,11 @@ def test_run_and_empty(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, edge.SF)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, edge.SF).count() == 0
+
+
+def test_decontamination_hands_memory_back(spark, monkeypatch):
+    """Idle workers stay through the later stages: what a stage freed must not stay with them."""
+    seen = []
+    monkeypatch.setattr(common, "trimmed", lambda run: seen.append(run) or run)
+    assert corpus_pipeline.drop_contaminated(spark, edge.docs(spark), edge.SF).count() > 0
+    assert seen
