@@ -164,6 +164,54 @@ def test_eigenvalues_solve_the_small_problem_rarely(monkeypatch):
     assert sizes[-1] >= 200 and len(sizes) < sizes[-1] // 10 * 0.7
 
 
+def test_spectra_of_large_sparse_graphs_need_few_products(monkeypatch):
+    """Eigenvalues that crowd at both ends: a basis of the Laplacian itself takes some hundred products."""
+    rng = np.random.default_rng(2)
+    n = 2300
+    u, v = np.r_[(np.arange(1, n) * rng.random(n - 1)).astype(int), rng.integers(0, n, 600)], np.r_[np.arange(1, n), rng.integers(0, n, 600)]
+    w = rng.random(len(u)) + 0.5
+    exact, solved = np.linalg.eigvalsh(kernels._dense_laplacian(n, u, v, w)), []
+    inner = kernels.times_adjacency
+
+    def counted(*args):
+        product = inner(*args)
+        return lambda y: solved.append(1) or product(y)
+
+    monkeypatch.setattr(kernels, "times_adjacency", counted)
+    values, vectors = kernels.extremes(n, u, v, w)
+    assert np.allclose(values, np.r_[exact[:7], exact[-3:]], atol=1e-9) and len(solved) < 40
+    assert np.allclose(kernels._dense_laplacian(n, u, v, w) @ vectors, vectors * values, atol=1e-6)
+
+
+def test_elimination_solves_loops_parallel_edges_and_refuses_dense_graphs():
+    rng = np.random.default_rng(3)
+    n = 400
+    u, v = np.r_[np.zeros(50, int), np.arange(n - 1), rng.integers(0, n, 60)], np.r_[np.arange(1, 51), np.arange(1, n), rng.integers(0, n, 60)]
+    x, keep = rng.random(len(u)), u != v
+    u, v, x = u[keep], v[keep], x[keep]
+    a = np.zeros((n, n))
+    np.add.at(a, (np.r_[u, v], np.r_[v, u]), np.r_[x, x])
+    d, y = a.sum(1) + 0.1, rng.normal(size=(n, 3))
+    args = (n, np.r_[u, v], np.r_[v, u], np.outer(np.r_[x, x], [-1, 1]), np.c_[d, d])
+    for sign, solve in zip((-1, 1), kernels.eliminate(*args, small=20), strict=True):
+        assert np.allclose((np.diag(d) + sign * a) @ solve(y), y, atol=1e-8)
+    assert kernels.eliminate(*args, small=20, most=5) is None
+
+
+def test_spectral_features_in_a_task_equal_the_joins(spark):
+    rng = np.random.default_rng(8)
+    rows = [("t", day(90 * k), f"u{a}", f"u{b}", 1 + a % 3, 5) for k in (0, 2, 3) for a, b in sorted({(a, b) for a, b in rng.integers(0, 14 + k, (26, 2)).tolist() if a != b})]
+    rows += [("t", day(90), "x", "y", 1, 5), ("s", day(90), "x", "z", 1, 5), ("s", day(90), "y", "z", 2, 5)]  # windows without one projection or both
+    df = spark.createDataFrame(rows, "hashtag string, window_end date, source string, target string, weight long, first_exposure_epoch long")
+    want = kernels.spectral_features({"bip": df, "proj_a": graph.count_projection(df, "A"), "proj_b": graph.count_projection(df, "B")})
+    own = kernels.window_spectral_features(df)
+    assert own.dtypes == want.dtypes and "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
+    order = lambda d: sorted((tuple(r) for r in d.collect()), key=lambda r: (r[0], r[1]))
+    assert len(order(own)) == 5
+    for a, b in zip(order(own), order(want), strict=True):
+        assert all(x == y or abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True))
+
+
 def test_auto_encoder_separates_cliques():
     u, v, w = ring(3, 10, [(0, 10)])
     z, auc = kernels.gae(30, u, v, w)
