@@ -212,6 +212,18 @@ def test_spectral_features_in_a_task_equal_the_joins(spark):
         assert all(x == y or abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True))
 
 
+@pytest.mark.parametrize("side", ["A", "B"])
+def test_spectra_of_projections_shuffle_no_pairs(spark, side):
+    rng = np.random.default_rng(9)
+    rows = [("t", day(k), f"u{a}", f"u{b}", 1, 5) for k in range(3) for a, b in sorted({(a, b) for a, b in rng.integers(0, 20, (30, 2)).tolist() if a != b})]
+    df = spark.createDataFrame([*rows, ("s", day(0), "x", "y", 1, 5)], "hashtag string, window_end date, source string, target string, weight long, first_exposure_epoch long")
+    own, want = kernels.spectral(df, side), kernels.spectral(graph.count_projection(df, side))
+    assert own.dtypes == want.dtypes and "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
+    held, other = ({tuple(r)[:2]: tuple(r)[2:] for r in d.collect()} for d in (own, want))
+    assert held.keys() == other.keys() and len(held) == 3
+    assert all(x == y or abs(x - y) < 1e-9 for k in held for x, y in zip(held[k], other[k], strict=True))
+
+
 def test_auto_encoder_separates_cliques():
     u, v, w = ring(3, 10, [(0, 10)])
     z, auc = kernels.gae(30, u, v, w)
