@@ -593,6 +593,22 @@ def _same(want, got, keys):
             assert (x is None) == (y is None) and (x is None or x == y or abs(x - y) < 1e-7), (c, x, y)
 
 
+def test_interpretability_in_one_task_equals_the_joins(spark):
+    rng = np.random.default_rng(13)
+    exposed = [("t" if a % 5 else "s", f"u{a:02}", f"u{b:02}", 86400 * d + a) for a, b, d in zip(rng.integers(0, 20, 260).tolist(), rng.integers(10, 40, 260).tolist(), rng.integers(0, 200, 260).tolist(), strict=True) if a != b]
+    exposed = spark.createDataFrame(exposed, "hashtag string, A string, B string, exposure_epoch long")
+    adoption = spark.createDataFrame([(h, f"u{a:02}", 3 + 1000 * a) for h in "st" for a in range(0, 20, 3)], "hashtag string, user string, first_post_epoch long")  # others' adoption is unknown
+    edges = graph.bipartite_edges(exposed)
+    weighted = graph.recency_weights(edges.withColumn("epoch", F.col("first_exposure_epoch")), mode="first")
+    want = embeddings.score_correlations(embeddings.gae_components(edges), edges, weighted, graph.bipartite_nodes(edges, adoption, exposed))
+    timed = graph.bipartite_edges(graph.first_times(exposed, adoption), more=("source_ts", "target_ts"))
+    got = embeddings.window_interpretability(timed)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "Aggregate" not in plan.split("FlatMapGroupsInPandas")[0]
+    _same(want, got, ("hashtag", "window_end", "component", "statistic"))
+    assert {r.statistic for r in got.collect()} == {"degree", "recency_degree", "first_seen"}
+
+
 def test_features_of_embeddings_in_one_task(spark):
     """The fused kernels give what the operators that they join give, and train once."""
     rng = np.random.default_rng(12)
