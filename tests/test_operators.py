@@ -609,6 +609,20 @@ def test_interpretability_in_one_task_equals_the_joins(spark):
     assert {r.statistic for r in got.collect()} == {"degree", "recency_degree", "first_seen"}
 
 
+def test_batches_of_skip_grams_add_what_meets():
+    rng = np.random.default_rng(14)
+    bounds = np.cumsum(np.r_[rng.random(50), np.zeros(5), rng.random(3) * 1e-9, rng.random(50)])
+    bounds /= bounds[-1]
+    x = np.r_[rng.random(5000), 0.0, bounds[:-1], np.nextafter(1, 0)]
+    assert (embeddings._sampler(bounds)(x) == np.searchsorted(bounds, x, "right")).all()
+    for n in (7, 90, 5000):
+        to, at, more = rng.random((n, 4)), rng.integers(0, n, 40), rng.random((40, 4))
+        want = to.copy()
+        np.add.at(want, at, more)
+        embeddings._add_rows(to, at, to[at], more)
+        assert np.allclose(to, want, atol=1e-14)
+
+
 def test_features_of_embeddings_in_one_task(spark):
     """The fused kernels give what the operators that they join give, and train once."""
     rng = np.random.default_rng(12)
